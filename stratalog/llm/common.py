@@ -93,3 +93,34 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
     out = nodes.union(nodes.select(F.col("component").alias("node"), "component").distinct())
     out._stored_at = cur._stored_at
     return out
+
+
+def whole_groups(batches, key: str):
+    """Regroup pandas batches of rows that are contiguous by key into frames that hold each key whole."""
+    import numpy as np
+    import pandas as pd
+
+    carry = None
+    for pdf in batches:
+        if carry is not None:
+            pdf = pd.concat([carry, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        k = pdf[key].to_numpy()
+        other = np.flatnonzero(k != k[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield pdf.iloc[:cut].reset_index(drop=True)
+        carry = pdf.iloc[cut:]
+    if carry is not None and len(carry):
+        yield carry.reset_index(drop=True)
+
+
+def block_pairs(df: DataFrame, key: list[str], row_id: str, limit: int, tag: str) -> DataFrame:
+    """Adds `pair`, a hash of the key and of two blocks of it, so that all rows of a key meet pair by pair in groups of about
+    twice `limit` rows at most: a key with m rows has ceil(m / limit) blocks and each row goes to every pair that has its block.
+    Also adds `block` and the pair's `bi` <= `bj`."""
+    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > limit)
+    out = df.join(sizes, key, "left").withColumn("_nb", F.coalesce(F.ceil(F.col("_m") / limit), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64(row_id), F.col("_nb")).cast("int"))
+    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    return out.withColumn("bi", F.least("block", "_other")).withColumn("bj", F.greatest("block", "_other")).withColumn("pair", F.xxhash64(*key, "bi", "bj")).drop("_m", "_nb", "_other")

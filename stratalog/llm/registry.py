@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from .chat import OP5_SQL, op5_format_chat
 from .mixing import op1_mix_sources
 from .sharding import op7_shard_documents
+from .vectors import OP10_SQL, op4_near_duplicate_vectors, op10_exact_top_k
 
 
 def queries() -> dict:
-    found = [op1_mix_sources, op7_shard_documents]
+    found = [op1_mix_sources, op4_near_duplicate_vectors, op5_format_chat, op7_shard_documents, op10_exact_top_k]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_format_chat": OP5_SQL, "op10_exact_top_k": OP10_SQL}
