@@ -100,7 +100,7 @@ def candidate_edges(batches):
     """Per bucket, a spanning forest of the pairs whose sketches are near; at least one of a pair is no probe."""
     for pdf in whole_groups(batches, "pair"):
         key, main = pdf["pair"].to_numpy(), pdf["main"].to_numpy()
-        s0, s1, ids, blk = pdf["s0"].to_numpy(), pdf["s1"].to_numpy(), pdf["id"].to_numpy(), pdf["block"].to_numpy()
+        s0, s1, ids, blk = pdf["s0"].to_numpy().view(np.uint64), pdf["s1"].to_numpy().view(np.uint64), pdf["id"].to_numpy(), pdf["block"].to_numpy()
         same = pdf["bi"].to_numpy() == pdf["bj"].to_numpy()
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         most = int(np.diff(np.r_[starts, len(key)]).max())
@@ -331,9 +331,9 @@ def op10_exact_top_k(spark, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH v AS (
-  SELECT vec_id, row_number() OVER () AS own, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v
+  SELECT vec_id, row_number() OVER () AS own, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.own, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
   FROM v q JOIN v c ON q.own <> c.own AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
