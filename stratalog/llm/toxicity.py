@@ -7,10 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, release
 from .textops import LETTER, doc_of, slices, small_batches, word_bounds, word_hashes
 
 #: Labelled documents that the model is fitted on, at most about so many.
-SAMPLE = 10_000
+SAMPLE = 16_000
 #: A term counts if its G statistic with the label reaches this; the strongest MOST_TERMS are kept.
 G_LEAST, MOST_TERMS, DF_LEAST = 25.0, 1024, 3
 PREFIXES = (4, 5, 6)
@@ -27,48 +28,51 @@ def _terms(data: np.ndarray, offsets: np.ndarray):
     return np.concatenate(hashes), doc_of(np.concatenate(places), offsets)
 
 
-def _distinct_terms(batches):
+def _distinct(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's distinct values, in order."""
+    order = np.lexsort((h, d))
+    h, d = h[order], d[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else np.zeros(0, bool)
+    return h[new], d[new]
+
+
+def _term_rows(batches):
     for batch in batches:
-        labels, out = batch.column("toxic").to_pylist(), []
-        for lo, hi, data, offsets in slices(batch.column("text")):
-            h, d = _terms(data, offsets)
-            order = np.lexsort((h, d))
-            h, d = h[order], d[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else np.zeros(0, bool)
-            h, d = h[new], d[new]
-            cut = np.searchsorted(d, np.arange(hi - lo + 1))
-            out += [(labels[lo + i], h[cut[i] : cut[i + 1]].tobytes()) for i in range(hi - lo)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["toxic", "terms"])
-
-
-def train(sample: list[tuple[int, np.ndarray]], factors: int = 6, epochs: int = 60, batch: int = 64, seed: int = 4) -> dict:
+        labels = batch.column("toxic").to_numpy(zero_copy_only=False)
+        for lo, _, data, offsets in slices(batch.column("text")):
+            h, d = _distinct(*_terms(data, offsets))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(labels[lo + d].astype(np.int32))], names=["term", "toxic"])
+
+
+def _document_rows(terms: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            labels, out = batch.column("toxic").to_pylist(), []
+            for lo, hi, data, offsets in slices(batch.column("text")):
+                h, d = _terms(data, offsets)
+                at = np.searchsorted(terms, h)
+                has = np.flatnonzero(terms[np.minimum(at, len(terms) - 1)] == h)
+                cols, d = _distinct(at[has], d[has])
+                cut = np.searchsorted(d, np.arange(hi - lo + 1))
+                out += [(labels[lo + i], cols[cut[i] : cut[i + 1]].astype(np.int32).tobytes()) for i in range(hi - lo)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["toxic", "terms"])
+
+    return run
+
+
+def train(terms: np.ndarray, sample: list[tuple[int, np.ndarray]], factors: int = 6, epochs: int = 60, batch: int = 64, seed: int = 4) -> dict:
     """Fit bias, weights w and factors v of score = sigmoid(bias + w.x + sum of (v_i.v_j) x_i x_j over pairs) by Adagrad, x
-    being the presence of hashed terms that tell the label apart by a G test."""
+    being the presence of the terms. sample: label and places of the terms of each document."""
     y = np.array([x[0] for x in sample], np.float32)
     n, pos = len(sample), float(y.sum())
-    empty = {"terms": np.zeros(0, np.uint64), "w": np.zeros(0), "v": np.zeros((0, factors)), "bias": float(np.log((pos + 0.5) / (n - pos + 0.5)))}
-    if not n or pos in (0.0, float(n)):
-        return empty
-    every = np.concatenate([x[1] for x in sample])
-    doc = np.repeat(np.arange(n), [len(x[1]) for x in sample])
-    terms, at, df = np.unique(every, return_inverse=True, return_counts=True)
-    hits = np.bincount(at, weights=y[doc], minlength=len(terms))
-    # G statistic of the two by two table of term and label
-    cells = [(hits, df * pos / n), (df - hits, df * (n - pos) / n), (pos - hits, (n - df) * pos / n), (n - pos - df + hits, (n - df) * (n - pos) / n)]
-    g = 2 * sum(np.where(o > 0, o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)), 0.0) for o, e in cells)
-    told = np.flatnonzero((g >= G_LEAST) & (df >= DF_LEAST))
-    told = np.sort(told[np.argsort(-g[told], kind="stable")][:MOST_TERMS])
-    if not len(told):
-        return empty
-    column = np.full(len(terms), -1)
-    column[told] = np.arange(len(told))
-    has = column[at] >= 0
-    x = np.zeros((n, len(told)), np.float32)
-    x[doc[has], column[at[has]]] = 1
+    w, b = np.zeros(len(terms), np.float32), np.float32(np.log((pos + 0.5) / (n - pos + 0.5)))
     rng = np.random.default_rng(seed)
-    w, v, b = np.zeros(len(told), np.float32), rng.normal(0, 0.05, (len(told), factors)).astype(np.float32), np.float32(empty["bias"])
+    v = rng.normal(0, 0.05, (len(terms), factors)).astype(np.float32)
+    x = np.zeros((n, len(terms)), np.float32)
+    for i, (_, at) in enumerate(sample):
+        x[i, at] = 1
     gw, gv, gb = np.full_like(w, 1e-2), np.full_like(v, 1e-2), 1e-2
-    for _ in range(epochs):
+    for _ in range(epochs if len(terms) else 0):
         order = rng.permutation(n)
         for lo in range(0, n, batch):
             r = order[lo : lo + batch]
@@ -84,18 +88,34 @@ def train(sample: list[tuple[int, np.ndarray]], factors: int = 6, epochs: int =
             w -= 0.5 * dw / np.sqrt(gw)
             v -= 0.05 * dv / np.sqrt(gv)
             b -= 0.1 * db / np.sqrt(gb)
-    return {"terms": terms[told], "w": w.astype(np.float64), "v": v.astype(np.float64), "bias": float(b)}
+    return {"terms": terms, "w": w.astype(np.float64), "v": v.astype(np.float64), "bias": float(b)}
+
+
+def informative_terms(rows: DataFrame, n: int, pos: int) -> np.ndarray:
+    """The hashed terms of rows (text, toxic) whose presence tells the label apart by a G test, counted by Spark."""
+    counts = rows.mapInArrow(_term_rows, "term long, toxic int").groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("toxic").cast("double").alias("hits")).where(F.col("df") >= DF_LEAST)
+    df, hits = F.col("df"), F.col("hits")
+    cell = lambda seen, expected: F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
+    g = cell(hits, df * pos / n) + cell(df - hits, df * (n - pos) / n) + cell(pos - hits, (n - df) * pos / n) + cell(n - pos - df + hits, (n - df) * (n - pos) / n)
+    told = counts.withColumn("g", 2 * g).where(F.col("g") >= G_LEAST).orderBy(F.desc("g"), "term").limit(MOST_TERMS).select("term").collect()
+    return np.sort(np.array([r.term for r in told], np.int64).view(np.uint64))
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, **how) -> dict:
-    """Train on about `sample` rows (doc_id, text, toxic) at most, chosen by hash; terms are hashed on the executors."""
+    """Train on about `sample` rows (doc_id, text, toxic) at most, chosen by hash. Terms are counted on the executors; the
+    driver gets the chosen terms, MOST_TERMS at most, and which of them each sampled document has."""
     small_batches(labelled.sparkSession)
-    rows = labelled.where("toxic is not null").select("doc_id", F.col("text"), F.col("toxic").cast("int").alias("toxic"))
-    n = rows.count()
+    rows = labelled.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    total = rows.count()
     chance = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) / (1 << 20)
-    chosen = rows.where(chance < min(1.0, sample / max(n, 1))).select("text", "toxic").mapInArrow(_distinct_terms, "toxic int, terms binary").limit(2 * sample)
-    got = [(r.toxic, np.frombuffer(r.terms, np.uint64)) for r in chosen.collect()]
-    return train(sorted(got, key=lambda x: (x[0], len(x[1]), x[1].tobytes())), **how)
+    chosen = materialize(rows.where(chance < min(1.0, sample / max(total, 1))).select("text", "toxic"), "toxic-sample")
+    n, pos = chosen.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    if not n or pos in (0, n):
+        return train(np.zeros(0, np.uint64), [(1, np.zeros(0, np.int32))] * (pos or 0) + [(0, np.zeros(0, np.int32))] * (n - (pos or 0)))
+    terms = informative_terms(chosen, n, pos)
+    got = chosen.mapInArrow(_document_rows(terms), "toxic int, terms binary").collect() if len(terms) else chosen.select("toxic", F.lit(b"").alias("terms")).collect()
+    release(chosen)
+    return train(terms, sorted(((r.toxic, np.frombuffer(r.terms, np.int32)) for r in got), key=lambda x: (x[0], x[1].tobytes())), **how)
 
 
 def _scorer(model: dict, keep: list[str]):
