@@ -6,13 +6,14 @@ from .chat import OP5_SQL, op5_format_chat
 from .langid import op2_language_id
 from .mixing import op1_mix_sources
 from .neardup import op9_minhash_near_dedup
+from .packing import op8_mixture_packing
 from .sharding import op7_shard_documents
 from .toxicity import op3_toxicity
 from .vectors import OP10_SQL, op4_near_duplicate_vectors, op10_exact_top_k
 
 
 def queries() -> dict:
-    found = [op1_mix_sources, op2_language_id, op3_toxicity, op4_near_duplicate_vectors, op5_format_chat, op7_shard_documents, op9_minhash_near_dedup, op10_exact_top_k]
+    found = [op1_mix_sources, op2_language_id, op3_toxicity, op4_near_duplicate_vectors, op5_format_chat, op7_shard_documents, op8_mixture_packing, op9_minhash_near_dedup, op10_exact_top_k]
     return {f.__name__: f for f in found}
 
 
