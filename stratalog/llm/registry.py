@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP5_SQL, op5_format_chat
+from .html import op6_html_main_text
 from .langid import op2_language_id
 from .mixing import op1_mix_sources
 from .neardup import op9_minhash_near_dedup
@@ -13,7 +14,7 @@ from .vectors import OP10_SQL, op4_near_duplicate_vectors, op10_exact_top_k
 
 
 def queries() -> dict:
-    found = [op1_mix_sources, op2_language_id, op3_toxicity, op4_near_duplicate_vectors, op5_format_chat, op7_shard_documents, op8_mixture_packing, op9_minhash_near_dedup, op10_exact_top_k]
+    found = [op1_mix_sources, op2_language_id, op3_toxicity, op4_near_duplicate_vectors, op5_format_chat, op6_html_main_text, op7_shard_documents, op8_mixture_packing, op9_minhash_near_dedup, op10_exact_top_k]
     return {f.__name__: f for f in found}
 
 
