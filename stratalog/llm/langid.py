@@ -158,11 +158,14 @@ def identify(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     return docs.select(*keep, *[] if "text" in keep else ["text"]).mapInArrow(_predictor(model, keep), f"{shape}, lang_pred string, score double")
 
 
+def held_out():
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
-    model = fit(docs.where(~held))
-    return identify(docs.select("doc_id", held.alias("held_out"), "text"), model, ["doc_id", "held_out"])
+    model = fit(docs.where(~held_out()))
+    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model, ["doc_id", "held_out"])
 
 
 def keep_identified(docs: DataFrame, model: dict, reject_below: float = REJECT_BELOW) -> DataFrame:
