@@ -1,15 +1,60 @@
-"""The corpus pipeline: toxicity, language ID, near-dedup, mixing, packing."""
+"""The corpus pipeline: toxicity, language ID, near-dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return documents' columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from stratalog.llm import langid, mixing, neardup, packing, toxicity
+from stratalog.llm.common import materialize
+
+#: No stage is SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine predicts as toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.fit_on_labels(docs, labels))
+
+
+def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is not told with calibrated confidence go."""
+    return langid.keep_identified(docs, langid.fit(docs.where(~langid.held_out())))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest doc_id stays."""
+    return neardup.drop_near_duplicates(docs, 80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.apply_mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unidentified),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, f"pipeline-{name}")
     return docs
