@@ -72,7 +72,7 @@ def _pivot(ids: list, p: np.ndarray, s: np.ndarray, rng: np.random.Generator) ->
 def pivotal_copies(docs: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     """(doc_id, source, size, copies) per class of rows alike in these; docs has n, the rows of the class.
 
-    Level 0 pairs rows within groups of about GROUP_ROWS of one source; each group leaves one fractional row, and FAN_IN
+    Level 0 pairs rows within groups of about GROUP_ROWS of one source, the larger half each with all smaller ones; each group leaves one fractional row, and FAN_IN
     groups meet at the next level, until one row a source is left, which is rounded to the nearest. So a source's words
     differ from its target by at most half of one class's words, whatever share of all rows the source holds.
     """
@@ -93,6 +93,12 @@ def pivotal_copies(docs: DataFrame, targets: DataFrame, seed: int = 17) -> DataF
             if len(open_):
                 name = pdf["source"].iloc[0]
                 rng = np.random.default_rng([seed, k, int(pdf["g"].iloc[0]), zlib.crc32(repr(name).encode())])
+                if k == 0:  # the larger half first, so that what is left over at the end is small
+                    by_size = open_[np.argsort(-mass[open_], kind="stable")]
+                    part = p[by_size]
+                    decided = _settle(part, mass[by_size], rng)
+                    p[by_size] = part
+                    open_ = by_size[len(decided) :]
                 order = open_[np.argsort(rng.random(len(open_)))]
                 p[order], last = _pivot(order, p[order], mass[order], rng)
                 left[order[last]] = 0 < p[order[last]] < 1
@@ -119,11 +125,21 @@ def pivotal_copies(docs: DataFrame, targets: DataFrame, seed: int = 17) -> DataF
     return decided.select("doc_id", "source", "size", (F.col("base") + F.col("p").cast("long")).alias("copies"))
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]):
-    cond = a[keys[0]].eqNullSafe(b[keys[0]])
-    for k in keys[1:]:
-        cond &= a[k].eqNullSafe(b[k])
-    return cond
+def _settle(p: np.ndarray, s: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decide rows in order of falling size, each paired with all later ones as one unit, as long as these can take or give
+    the mass; their common probability moves instead. All rows start with the same. Returns the places decided."""
+    n = len(p)
+    u, rate, rest, done = rng.random(n), float(p[0]), float(s.sum()), []
+    for i in range(n // 2):
+        rest -= s[i]
+        if (1 - rate) * s[i] > rate * rest or rate * s[i] > (1 - rate) * rest:
+            rest += s[i]
+            break
+        up = u[i] < rate
+        p[i], rate = float(up), rate - ((1 - rate) if up else -rate) * s[i] / rest
+        done.append(i)
+    p[len(done) :] = min(1.0, max(0.0, rate))
+    return np.array(done, np.int64)
 
 
 KEYS = ["doc_id", "source", "size"]
