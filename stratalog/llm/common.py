@@ -116,6 +116,20 @@ def whole_groups(batches, key: str):
         yield carry.reset_index(drop=True)
 
 
+def pairs_within(key):
+    """All pairs of places with equal keys, equal keys being contiguous, in arrays (i, i + d) for d = 1, 2, ..."""
+    import numpy as np
+
+    i, d = np.arange(len(key)), 0
+    while True:
+        d += 1
+        i = i[i + d < len(key)]
+        i = i[key[i + d] == key[i]]
+        if not len(i):
+            return
+        yield i, i + d
+
+
 def block_pairs(df: DataFrame, key: list[str], row_id: str, limit: int, tag: str) -> DataFrame:
     """Adds `pair`, a hash of the key and of two blocks of it, so that all rows of a key meet pair by pair in groups of about
     twice `limit` rows at most: a key with m rows has ceil(m / limit) blocks and each row goes to every pair that has its block.

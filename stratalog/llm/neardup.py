@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, connected_components, materialize, release, whole_groups
+from .common import block_pairs, connected_components, materialize, pairs_within, release, whole_groups
 from .textops import SPACE, doc_of, mix, slices, small_batches, word_bounds, word_hashes
 from .vectors import _span
 
@@ -93,16 +93,13 @@ def _candidates(agree: int):
             key, ids, blk = pdf["pair"].to_numpy(), pdf["id"].to_numpy(), pdf["block"].to_numpy()
             same = pdf["bi"].to_numpy() == pdf["bj"].to_numpy()
             sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-            found_a, found_b, d = [], [], 0
-            while True:
-                d += 1
-                i = np.flatnonzero(key[d:] == key[:-d]) if d < len(key) else np.zeros(0, np.int64)
-                if not len(i):
-                    break
-                i = i[same[i] | (blk[i] != blk[i + d])]
-                near = (sig[i] == sig[i + d]).sum(1) >= agree
+            found_a, found_b = [], []
+            for i, j in pairs_within(key):
+                apart = same[i] | (blk[i] != blk[j])
+                i, j = i[apart], j[apart]
+                near = (sig[i] == sig[j]).sum(1) >= agree
                 found_a.append(i[near])
-                found_b.append(i[near] + d)
+                found_b.append(j[near])
             if found_a:
                 a, b = np.concatenate(found_a), np.concatenate(found_b)
                 keep = _span(len(key), a, b)
