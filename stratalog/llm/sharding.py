@@ -26,13 +26,14 @@ def _quotas(demand: dict, sizes: list[int], cap: int) -> dict:
     return allowed
 
 
-def balanced_label_propagation(rows: DataFrame, n_shards: int, rounds: int = 4, slack: float = 1.02) -> DataFrame:
+def balanced_label_propagation(rows: DataFrame, n_shards: int, rounds: int = 6, slack: float = 1.25) -> DataFrame:
     """Shard labels for rows (uid unique, link: rows with equal link are linked; null: linked with nothing).
 
     Rows start in hashed shards. In each round a link's members vote: counts by (link, shard) are combined before the
     shuffle, the fullest shard wins, and members elsewhere move there as far as the quotas between the two shards allow; a
     link that outgrows its quota moves in part. All that reaches the driver is a shards by shards table of counts.
-    Returns uid, link, shard; sizes are near equal, and enforce_rows() makes them exactly so.
+    Returns uid, link, shard; sizes stay within `slack`, and enforce_rows() makes them equal, at which each of the bounds
+    between shards cuts one link at most.
     """
     state = materialize(rows.select("uid", "link", F.pmod(F.xxhash64("uid"), F.lit(n_shards)).cast("int").alias("shard")), "shard-state")
     for r in range(rounds):
@@ -48,7 +49,7 @@ def balanced_label_propagation(rows: DataFrame, n_shards: int, rounds: int = 4,
             break
         quota = state.sparkSession.createDataFrame([(s, t, float(x), min(1.0, x / demand[s, t])) for (s, t), x in allowed.items()], "shard int, target int, quota double, odds double")
         # at most shards squared rows
-        granted = moves.join(F.broadcast(quota), ["shard", "target"]).select("link", "shard", "target", "odds", (F.col("n") > F.col("quota") / 8).alias("in_part"))
+        granted = moves.join(F.broadcast(quota), ["shard", "target"]).select("link", "shard", "target", "odds", (F.col("n") > F.col("quota")).alias("in_part"))
         chance = lambda *c: F.pmod(F.xxhash64(*c, F.lit(r)), F.lit(1 << 20)) / (1 << 20)  # noqa: E731, B023
         lucky = F.when(F.col("in_part"), chance("uid")).otherwise(chance("link", "shard")) < F.col("odds")
         moved = state.join(granted, ["link", "shard"], "left").select("uid", "link", F.when(F.col("odds").isNotNull() & lucky, F.col("target")).otherwise(F.col("shard")).alias("shard"))
@@ -69,7 +70,7 @@ def enforce_rows(state: DataFrame, n_shards: int) -> DataFrame:
     return ranked.withColumn("shard", shard).withColumn("slot", F.col("rank") - whole(F.col("shard").cast("long")).cast("long")).drop("rank", "_side")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = 4) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = 6) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs, under the law `rows`.
 
     Documents with equal text are linked. size is the text's UTF-8 bytes plus 1; a null text has size 1, CRC 0 and no links,
