@@ -52,7 +52,7 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["lang", "ids", "counts"])
 
 
-def train(sample: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 6, batch: int = 32, rate: float = 40.0, seed: int = 3) -> dict:
+def train(sample: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 6, least_steps: int = 500, batch: int = 32, rate: float = 40.0, seed: int = 3) -> dict:
     """Stochastic gradient descent on embeddings and softmax; a fifth of the sample sets the temperature.
 
     Returns langs, table (each bucket's contribution to each language's logit: embedding times softmax weights) and bias."""
@@ -81,19 +81,19 @@ def train(sample: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epoch
         np.add.at(h, doc, embed[ids] * share[:, None])
         return h
 
-    for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
-        for at in range(0, len(rest), batch):
-            rows = rest[rng.permutation(len(rest))[:batch]] if epoch else rest[at : at + batch]
-            ids, share, doc = gather(rows)
-            h = mean(ids, share, doc, len(rows))
-            g = softmax(h @ weights + bias)
-            g[np.arange(len(rows)), y[rows]] -= 1
-            g /= len(rows)
-            back = g @ weights.T
-            weights -= 0.05 * step * (h.T @ g)
-            bias -= 0.005 * step * g.sum(0)
-            np.add.at(embed, ids, -step * share[:, None] * back[doc])
+    steps = max(least_steps, epochs * len(rest) // batch)
+    for k in range(steps):
+        step = rate * (1 - k / steps)
+        rows = rest[rng.integers(0, len(rest), min(batch, len(rest)))]
+        ids, share, doc = gather(rows)
+        h = mean(ids, share, doc, len(rows))
+        g = softmax(h @ weights + bias)
+        g[np.arange(len(rows)), y[rows]] -= 1
+        g /= len(rows)
+        back = g @ weights.T
+        weights -= 0.05 * step * (h.T @ g)
+        bias -= 0.005 * step * g.sum(0)
+        np.add.at(embed, ids, -step * share[:, None] * back[doc])
     table = embed @ weights
     if len(held):
         ids, share, doc = gather(held)
