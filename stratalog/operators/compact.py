@@ -111,3 +111,38 @@ def reclaimable(nodes: DataFrame, readers: DataFrame) -> DataFrame:
     """Nodes (born, dead) that no reader (t) can still see."""
     oldest = readers.agg(F.min("t").alias("_t"))
     return nodes.join(F.broadcast(oldest)).where(F.col("_t").isNull() | (F.col("dead") < F.col("_t"))).drop("_t")
+
+
+def pick(files: DataFrame, pointers: dict[int, object], seeks: DataFrame | None = None, base: int = BASE_BYTES) -> dict | None:
+    """What to compact next: the level with the highest score of 1 or more, from the first file after its pointer, round
+    robin; else a file that has used up its seeks. One row a level, then one file, reach the driver."""
+    best = scores(files, base).where("score >= 1").orderBy(F.desc("score"), "level").first()
+    if best:
+        at = pointers.get(best["level"])
+        own = files.where(F.col("level") == best["level"]).orderBy("smallest_key", "file_no")
+        first = (own.where(F.col("largest_key") > F.lit(at)).first() if at is not None else None) or own.first()
+        return {"reason": "size", "level": best["level"], "file_no": first["file_no"]}
+    hit = seek_candidates(files, seeks).orderBy(F.desc("misses"), "file_no").first() if seeks is not None else None
+    return {"reason": "seek", "level": hit["level"], "file_no": hit["file_no"]} if hit else None
+
+
+def other_inputs(files: DataFrame, level: int, chosen: list[int], limit: int) -> tuple[list[int], list[int]]:
+    """The inputs of a level and of the next: files below that the chosen meet, then more files of the level if these meet no
+    more files below and all stay within `limit` bytes. Only file numbers and bounds reach the driver."""
+    def met(lvl: int, low, high) -> list:
+        return files.where((F.col("level") == lvl) & (F.col("largest_key") >= F.lit(low)) & (F.col("smallest_key") <= F.lit(high))).orderBy("smallest_key", "file_no").select("file_no", "file_size", "smallest_key", "largest_key").collect()
+
+    def ends(nos: list[int], lvl: int):
+        return files.where((F.col("level") == lvl) & F.col("file_no").isin(nos)).agg(F.min("smallest_key"), F.max("largest_key")).first()
+
+    below = met(level + 1, *ends(chosen, level))
+    bounds = [*ends(chosen, level)]
+    for f in below:
+        bounds = [min(bounds[0], f["smallest_key"]), max(bounds[1], f["largest_key"])]
+    more = met(level, *bounds)
+    if len(more) > len(chosen) and sum(f["file_size"] for f in [*more, *below]) < limit:
+        wider = [f["file_no"] for f in more]
+        again = met(level + 1, *ends(wider, level))
+        if len(again) == len(below):
+            return wider, [f["file_no"] for f in again]
+    return sorted(chosen), [f["file_no"] for f in below]

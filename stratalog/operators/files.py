@@ -111,3 +111,16 @@ def rebuild(log: DataFrame) -> DataFrame:
     from ..sources.logs import file_metadata
 
     return file_metadata(log.withColumn("level", F.lit(0)))
+
+
+def recover(edits: DataFrame) -> DataFrame:
+    """The counters after all edits (comparator, log_number, next_file, last_seq may be null in an edit), and what is wrong:
+    a comparator that is not the bytewise one, or a counter that no edit has."""
+    last = edits.agg(F.max("comparator").alias("comparator"), F.max_by("log_number", F.when(F.col("log_number").isNotNull(), F.col("edit_no"))).alias("log_number"), F.max("next_file").alias("next_file"), F.max("last_seq").alias("last_seq"))
+    wrong = F.when(F.col("comparator") != "bytewise", "INVALID_ARGUMENT").when(F.col("next_file").isNull() | F.col("log_number").isNull() | F.col("last_seq").isNull(), "CORRUPTION").otherwise("OK")
+    return last.withColumn("status", wrong)
+
+
+def as_one_edit(live: DataFrame) -> DataFrame:
+    """The whole state as additions of one edit."""
+    return live.select(F.lit(0).cast("long").alias("edit_no"), F.lit("add").alias("kind"), "level", "file_no", "file_size")

@@ -105,3 +105,12 @@ def settings(*layers: dict[str, str]) -> dict[str, str]:
 def first_reads(ops: DataFrame) -> DataFrame:
     """The first operation on each key."""
     return ops.withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy("op_id"))).where("_n = 1").drop("_n")
+
+
+def fill(spark, n: int, kind: str, entries: int = 1, seed: int = 301) -> DataFrame:
+    """Put batches (batch_id, op_idx, id): fillseq and fillbatch in order, fillrandom and overwrite over [0, n) by hash,
+    hotwrite over the first hundredth of the keys. entries: operations in a batch (1000 for fillbatch)."""
+    i = F.col("id")
+    drawn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n))
+    key = {"fillseq": i, "fillbatch": i, "fillrandom": drawn, "overwrite": drawn, "hotwrite": F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, (n + 99) // 100)))}[kind]
+    return spark.range(n).select(F.floor(i / entries).alias("batch_id"), (i % entries).cast("int").alias("op_idx"), key.alias("id"))

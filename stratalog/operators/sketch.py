@@ -81,3 +81,14 @@ def estimates(keys: DataFrame, counts: DataFrame, hashed: str = "h") -> DataFram
     met = keys.withColumn("c", F.explode(_cells(hashed))).select(*keys.columns, "c.row", "c.cell").join(counts, ["row", "cell"], "left")
     low = F.min(F.coalesce("n", F.lit(0)))
     return met.groupBy(*keys.columns).agg(low.alias("estimate"), (low > HOT_COUNT).alias("hot"))
+
+
+def build_filter_blocks(keys: DataFrame, bits_per_key: int = 10) -> DataFrame:
+    """A filter for every 2 KB of file offset (keys: user_key, offset)."""
+    return build_filters(keys.select(F.shiftright("offset", 11).alias("block"), "user_key").distinct(), "block", bits_per_key)
+
+
+def decayed(adds: DataFrame, every: int = 100_000_000) -> DataFrame:
+    """adds (add_no, h) of the running epoch: the sketch is cleared after `every` adds."""
+    newest = adds.agg(F.floor(F.max("add_no") / every).alias("_e"))
+    return adds.join(F.broadcast(newest), F.floor(F.col("add_no") / every) == F.col("_e")).drop("_e")
