@@ -9,6 +9,7 @@ from .mixing import op1_mix_sources
 from .neardup import op9_minhash_near_dedup
 from .packing import op8_mixture_packing
 from .sharding import op7_shard_documents
+from .sql import MINHASH_NEAR_DEDUP, NEAR_DUPLICATE_VECTORS
 from .toxicity import op3_toxicity
 from .vectors import OP10_SQL, op4_near_duplicate_vectors, op10_exact_top_k
 
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_format_chat": OP5_SQL, "op10_exact_top_k": OP10_SQL}
+    return {"op4_near_duplicate_vectors": NEAR_DUPLICATE_VECTORS, "op5_format_chat": OP5_SQL, "op9_minhash_near_dedup": MINHASH_NEAR_DEDUP, "op10_exact_top_k": OP10_SQL}

@@ -400,7 +400,7 @@ def test_sql(spark, data, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("conversations", "embeddings"):
+    for t in ("conversations", "documents", "embeddings"):
         c.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
     want = c.sql(registry.oracle_sql()[name])
     got = registry.queries()[name](spark, data)
