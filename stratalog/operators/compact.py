@@ -19,9 +19,12 @@ def smallest_snapshot(snapshots: DataFrame, last_seq: int) -> int:
 
 
 def drop_shadowed(log: DataFrame, oldest: int) -> DataFrame:
-    """Versions that stay: those with no newer version of their key at or below the oldest snapshot."""
-    newer = F.lag("seq").over(W.partitionBy("user_key").orderBy(F.desc("seq"), F.desc("vtype")))
-    return log.withColumn("_newer", newer).where(F.col("_newer").isNull() | (F.col("_newer") > oldest)).drop("_newer")
+    """Versions that stay: those with no newer version of their key at or below the oldest snapshot. These are all above it
+    and each key's newest one up to it, which needs no order among a hot key's versions."""
+    from .resolve import newest_by_max
+
+    below = newest_by_max(log.where(F.col("seq") <= oldest))
+    return log.where(F.col("seq") > oldest).unionByName(below)
 
 
 def drop_markers(log: DataFrame, oldest: int, deeper: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Workload mixes (read, update, insert, scan, read-modify-write) and the skew of the key chooser.
@@ -104,7 +103,8 @@ def settings(*layers: dict[str, str]) -> dict[str, str]:
 
 def first_reads(ops: DataFrame) -> DataFrame:
     """The first operation on each key."""
-    return ops.withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy("op_id"))).where("_n = 1").drop("_n")
+    rest = [c for c in ops.columns if c != "key"]
+    return ops.groupBy("key").agg(F.min_by(F.struct(*rest), "op_id").alias("_o")).select("key", "_o.*").select(*ops.columns)
 
 
 def fill(spark, n: int, kind: str, entries: int = 1, seed: int = 301) -> DataFrame:

@@ -39,12 +39,18 @@ def live(log: DataFrame, snapshot: int | None = None) -> DataFrame:
 def at_snapshots(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     """(snap_id, user_key, value): the live state at each of many snapshots (snap_id, seq).
 
-    Each version holds from its seq to the next of its key, so a snapshot meets one version a key, not all older ones.
+    The snapshots, a small table, become one sorted array. Each version falls between two of them, and of a key's versions
+    in one gap only the newest counts: an aggregation that combines before the shuffle, so a hot key leaves one row a gap.
+    A row then holds from its gap to the key's next one.
     """
-    until = F.lead("seq").over(W.partitionBy("user_key").orderBy("seq", "vtype"))
-    spans = log.withColumn("_until", F.coalesce(until, F.lit((1 << 63) - 1))).where("vtype = 1")
-    s = snapshots.select("snap_id", F.col("seq").alias("_s"))
-    return spans.join(s, (F.col("seq") <= F.col("_s")) & (F.col("_s") < F.col("_until"))).select("snap_id", "user_key", "value")
+    order = snapshots.agg(F.array_sort(F.collect_list(F.struct("seq", "snap_id"))).alias("_s"))
+    gap = F.size(F.filter("_s", lambda s: s["seq"] < F.col("seq")))
+    placed = log.join(F.broadcast(order)).withColumn("_gap", gap)
+    newest = placed.groupBy("user_key", "_gap").agg(F.max_by(F.struct("vtype", "value"), F.struct("seq", "vtype")).alias("_v"))
+    until = F.lead("_gap").over(W.partitionBy("user_key").orderBy("_gap"))  # as many rows a key as there are snapshots, at most
+    spans = newest.withColumn("_until", until).where("_v.vtype = 1").join(F.broadcast(order))
+    seen = F.slice("_s", F.col("_gap") + 1, F.coalesce("_until", F.size("_s")) - F.col("_gap"))
+    return spans.select("user_key", "_v.value", F.explode(seen).alias("_at")).select("_at.snap_id", "user_key", "value")
 
 
 def lookup(keys: DataFrame, log: DataFrame, snapshot: int | None = None) -> DataFrame:
