@@ -52,7 +52,7 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["lang", "ids", "counts"])
 
 
-def train(sample: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 6, least_steps: int = 500, batch: int = 32, rate: float = 40.0, seed: int = 3) -> dict:
+def train(sample: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 4, least_steps: int = 400, batch: int = 32, rate: float = 40.0, seed: int = 3) -> dict:
     """Stochastic gradient descent on embeddings and softmax; a fifth of the sample sets the temperature.
 
     Returns langs, table (each bucket's contribution to each language's logit: embedding times softmax weights) and bias."""
