@@ -19,6 +19,8 @@ SEQUENCE = 2048
 WINDOW = 64 * SEQUENCE
 #: Sources have a queue each up to this number; beyond it they share queues by hash, which changes proportions only.
 MOST_QUEUES = 4096
+#: Rows of about 40 bytes that are still sent to all tasks.
+MOST_BASES = 200_000
 END_ID = 1
 CACHE_WORDS = 400_000
 LONG_WORD = 64
@@ -300,7 +302,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, window: int =
     # where each part's tokens begin in its queue: a running sum over parts, of which each queue has as many as the input
     before = sums.withColumn("before", F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).select("queue", "part", "before")
     ranks = docs.sparkSession.createDataFrame(list(rank.items()) or [("null", 0)], "queue string, rank int")
-    placed = ids.join(before.join(ranks, "queue"), ["queue", "part"]).select("doc_id", "rank", (F.col("at") + F.col("before")).alias("at"), "n", "ids")
+    bases = before.join(ranks, "queue")
+    # one row per queue and part of the input: sent to all tasks while small, so that ids stay where they are, else joined
+    bases = F.broadcast(bases) if sums.count() <= MOST_BASES else bases
+    placed = ids.join(bases, ["queue", "part"]).select("doc_id", "rank", (F.col("at") + F.col("before")).alias("at"), "n", "ids")
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return placed.mapInArrow(_pieces([n for _, n in totals], length, window, share), shape)
 
