@@ -211,8 +211,10 @@ def main_text(pages: DataFrame, keep: list[str]) -> DataFrame:
     repeated = suffixes.groupBy("host", "key").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).where("a <> b").select("host", "key")
     mine = open_.select("uid", "host", F.explode("keys").alias("key")).join(repeated, ["host", "key"]).groupBy("uid").agg(F.collect_list("key").alias("repeated"))
     rest = open_.select("uid", "free").join(mine, "uid", "left").mapInPandas(_clean, "uid long, rest string")
-    out = parsed.join(rest, "uid", "left").withColumn("text", F.coalesce("rest", "text"))
-    return out.select(*keep, "text", F.char_length("text").cast("long").alias("n_chars"))
+    # texts that markup has settled stay where they are; only the other pages are joined
+    told = parsed.where(F.size("free") == 0).select(*keep, "text")
+    out = told.unionByName(open_.drop("text").join(rest, "uid").select(*keep, F.col("rest").alias("text")))
+    return out.select("*", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op6_html_main_text(spark, sf_dir: str) -> DataFrame:
