@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .neardup import near_duplicates
 from .textops import SPACE, mix, small_batches, word_bounds, word_hashes
 
 #: Tokens of a passage that counts as long; a power of two, as the suffixes are sorted by doubling.
 LONG = 8
+#: A long passage is boilerplate if it stands on at least PAGES pages of a host and on more than half of them. Near copies, which
+#: share ALIKE percent of their main texts' shingles, count as one page.
+PAGES, ALIKE = 3, 60
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:@-][\w:.@-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -194,10 +198,12 @@ def main_text(pages: DataFrame, keep: list[str]) -> DataFrame:
 
     A page with an article, or else a main part, gives that part's blocks, without what markup inside it marks as something
     else. Of other pages, the blocks that markup does not mark are held against their host: the suffixes of all its pages'
-    token streams outside articles are keyed by their first LONG tokens, the keys that distinct pages share are boilerplate,
-    and the runs of tokens that these do not cover are kept. Pages with the same stream count as one, so copies of a page do
-    not erase each other. Counts are combined before the shuffle; no host is gathered in one task. A null or empty page gives
-    an empty text; a null url is a host of its own; repeated rows are answered each; other columns are ignored.
+    token streams outside articles are keyed by their first LONG tokens, the keys that at least PAGES pages and more than half
+    of the host's pages share are boilerplate, and the runs of tokens that these do not cover are kept. Pages whose main texts
+    (the article, or the unmarked blocks) are near copies count as one, whatever menus and adverts stand beside them, so
+    copies of a page do not erase each other; a passage that few pages quote stays. Counts are combined before the shuffle; no
+    host is gathered in one task. A null or empty page gives an empty text; a null url is a host of its own; repeated rows are
+    answered each; other columns are ignored.
     """
     small_batches(pages.sparkSession)
     cols = list(dict.fromkeys([*keep, "url", "html"]))
@@ -206,13 +212,21 @@ def main_text(pages: DataFrame, keep: list[str]) -> DataFrame:
     parsed = pages.select(*cols).mapInArrow(_parse, f"{shape}, host string, text string, free array<string>, keys array<long>, sig long")
     parsed = materialize(parsed.withColumn("uid", F.monotonically_increasing_id()), "html-parsed")
     open_ = parsed.where(F.size("free") > 0)
+    # texts that markup has settled stay where they are; only the other pages are joined
+    told = parsed.where(F.size("free") == 0).select(*keep, "text")
+    if open_.isEmpty():
+        return told.select("*", F.char_length("text").cast("long").alias("n_chars"))
     hosts = open_.select("host").distinct()
-    suffixes = parsed.join(hosts, "host", "left_semi").select("host", "sig", F.explode("keys").alias("key"))
-    repeated = suffixes.groupBy("host", "key").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).where("a <> b").select("host", "key")
+    near = parsed.join(hosts, "host", "left_semi").where("size(keys) > 0 or size(free) > 0 or text <> ''")
+    alike = near_duplicates(near.select(F.col("uid").alias("doc_id"), F.when(F.size("free") > 0, F.concat_ws("\n", "free")).otherwise(F.col("text")).alias("text")), ALIKE)
+    # a page of nothing but marked blocks is told by these
+    paged = near.join(alike.select(F.col("doc_id").alias("uid"), "n_shingles", "component_id"), "uid").select("host", "keys", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("sig")).alias("page"))
+    paged = materialize(paged, "html-paged")
+    sizes = paged.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    counts = paged.select("host", "page", F.explode("keys").alias("key")).distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("on")).where(F.col("on") >= PAGES)
+    repeated = counts.join(sizes, "host").where("2 * on > pages").select("host", "key")
     mine = open_.select("uid", "host", F.explode("keys").alias("key")).join(repeated, ["host", "key"]).groupBy("uid").agg(F.collect_list("key").alias("repeated"))
     rest = open_.select("uid", "free").join(mine, "uid", "left").mapInPandas(_clean, "uid long, rest string")
-    # texts that markup has settled stay where they are; only the other pages are joined
-    told = parsed.where(F.size("free") == 0).select(*keep, "text")
     out = told.unionByName(open_.drop("text").join(rest, "uid").select(*keep, F.col("rest").alias("text")))
     return out.select("*", F.char_length("text").cast("long").alias("n_chars"))
 

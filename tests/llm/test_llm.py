@@ -267,6 +267,28 @@ def test_repeated_passages_go(spark):
     assert html.main_text(df.limit(0), ["page_id"]).count() == 0
 
 
+def test_quotes_and_near_copies_stay(spark):
+    """Pages without an article: copies that differ in an advert or date and a passage that few pages quote keep their text."""
+    menu = " ".join(f"menu{j}" for j in range(12))
+    own = {i: " ".join(f"u{i}w{j}" for j in range(90)) for i in range(9)}
+    quote = " ".join(f"q{j}" for j in range(60))
+    page = lambda i, ad, *more: f"<div>{menu}</div><div class=ad>{ad}</div>" + "".join(f"<div>{t}</div>" for t in more)
+    texts = {i: [own[i], f"day {i}"] for i in range(6)}
+    texts[1].insert(1, quote)
+    texts[2].insert(1, quote)
+    copies = {10 + i: [own[7], f"printed on day {i}"] for i in range(8)}
+    rows = [(i, f"http://h.example/{i}", page(i, f"buy number {i} of these very good cakes today", *t)) for i, t in (texts | copies).items()]
+    # two hosts of copies alone: of a host's only article with other adverts, and without any
+    alone = {20 + i: [own[8], f"day {i}"] for i in range(4)}
+    rows += [(i, "http://one.example/", page(i, f"advert {i}", *t)) for i, t in alone.items()]
+    pair = {30 + i: [own[6], " ".join(f"unmarked{i}ad{j}" for j in range(9))] for i in range(2)}
+    rows += [(i, "http://two.example/", "".join(f"<div>{t}</div>" for t in ts)) for i, ts in pair.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(df, ["page_id"]).collect()}
+    want = {i: "\n\n".join(t) for i, t in (texts | copies | pair).items()} | {i: "\n\n".join([menu, *t]) for i, t in alone.items()}
+    assert got == want
+
+
 # ---- sharding
 
 
