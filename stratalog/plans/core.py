@@ -369,7 +369,7 @@ def compaction_keep(spark, d):
 @query(f"WITH {_KEEP}, deep AS (SELECT file_no, min(user_key) AS lo, max(user_key) AS hi FROM log WHERE level = 2 AND file_no % 10 = 0 GROUP BY file_no) SELECT user_key, seq, vtype FROM kept WHERE NOT (vtype = 0 AND seq <= 600 AND NOT EXISTS (SELECT 1 FROM deep WHERE user_key BETWEEN lo AND hi))")
 def compaction_tombstone_elision(spark, d):
     log = _log(spark, d)
-    deeper = L.file_metadata(log.where("level = 2 and file_no % 10 = 0"))
+    deeper = L.file_metadata(log.where("level = 2"))
     return C.drop_markers(C.drop_shadowed(log, 600), 600, deeper).select("user_key", "seq", "vtype")
 
 

@@ -53,6 +53,16 @@ def test_sketch_is_never_too_low(spark):
     assert core.cms_estimate(spark, DATA).where("estimate < exact").count() == 0
 
 
+def test_every_deeper_file_keeps_markers(spark, tmp_path):
+    """Level 2 has two disjoint files, of keys 0 to 9 and 100 to 109; later markers lie in the first, in the second, in neither."""
+    markers = {250: 105, 260: 500, 270: 5}
+    keys = lambda i: markers.get(i, i % 10 if i < 100 else 100 + i % 10 if i < 200 else 900)
+    rows = [(i, keys(i), "error" if i in markers else "view", 1.0) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = core.queries()["compaction_tombstone_elision"](spark, str(tmp_path)).where("vtype = 0").collect()
+    assert sorted((r.user_key, r.seq) for r in got) == [(5, 270), (105, 250)]
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as e
 
