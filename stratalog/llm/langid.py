@@ -52,7 +52,7 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["lang", "ids", "counts"])
 
 
-def train(sample: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 4, least_steps: int = 400, batch: int = 32, rate: float = 40.0, seed: int = 3) -> dict:
+def train(sample: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 6, least_steps: int = 500, batch: int = 32, rate: float = 40.0, seed: int = 3) -> dict:
     """Stochastic gradient descent on embeddings and softmax; a fifth of the sample sets the temperature.
 
     Returns langs, table (each bucket's contribution to each language's logit: embedding times softmax weights) and bias."""
@@ -67,37 +67,31 @@ def train(sample: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epoch
     order = rng.permutation(len(sample))
     held, rest = order[: len(order) // 5], order[len(order) // 5 :]
 
-    def gather(rows):
-        ids = np.concatenate([sample[r][1] for r in rows])
-        share = np.concatenate([sample[r][2] / max(1.0, sample[r][2].sum()) for r in rows])
-        return ids, share, np.repeat(np.arange(len(rows)), [len(sample[r][1]) for r in rows])
+    shares = [x[2] / max(1.0, x[2].sum()) for x in sample]
 
     def softmax(z):
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-    def mean(ids, share, doc, n):
-        h = np.zeros((n, dim), np.float32)
-        np.add.at(h, doc, embed[ids] * share[:, None])
-        return h
+    def mean(rows):
+        return np.stack([shares[r] @ embed[sample[r][1]] for r in rows]).astype(np.float32)
 
     steps = max(least_steps, epochs * len(rest) // batch)
     for k in range(steps):
         step = rate * (1 - k / steps)
         rows = rest[rng.integers(0, len(rest), min(batch, len(rest)))]
-        ids, share, doc = gather(rows)
-        h = mean(ids, share, doc, len(rows))
+        h = mean(rows)
         g = softmax(h @ weights + bias)
         g[np.arange(len(rows)), y[rows]] -= 1
         g /= len(rows)
         back = g @ weights.T
         weights -= 0.05 * step * (h.T @ g)
         bias -= 0.005 * step * g.sum(0)
-        np.add.at(embed, ids, -step * share[:, None] * back[doc])
+        for r, move in zip(rows, step * back, strict=True):  # a row's ids are distinct
+            embed[sample[r][1]] -= np.outer(shares[r], move)
     table = embed @ weights
     if len(held):
-        ids, share, doc = gather(held)
-        z = mean(ids, share, doc, len(held)) @ weights + bias
+        z = mean(held) @ weights + bias
         loss = lambda t: -np.log(np.maximum(softmax(z * t)[np.arange(len(held)), y[held]], 1e-9)).mean()
         best = min(np.geomspace(0.25, 16, 25), key=loss)
         table, bias = table * best, bias * best

@@ -104,6 +104,29 @@ def test_language_learns(documents):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_steps_are_whole(monkeypatch):
+    """500 steps at least, 6 epochs of the four fifths that are trained on: rows drawn in steps, by the generator's calls."""
+    drawn = []
+
+    class Counting:
+        def __init__(self, seed):
+            self.rng = np.random.RandomState(seed)
+
+        def integers(self, low, high, n):
+            drawn.append(n)
+            return self.rng.randint(low, high, n)
+
+        def __getattr__(self, name):
+            return getattr(self.rng, name)
+
+    monkeypatch.setattr(langid.np.random, "default_rng", Counting)
+    sample = [("a" if i % 2 else "b", np.array([i % 2, 5]), np.ones(2, np.float32)) for i in range(5000)]
+    for n, steps in ((50, 500), (5000, 6 * 4000 // 32)):
+        drawn.clear()
+        langid.train(sample[:n])
+        assert len(drawn) == steps
+
+
 def test_language_odd_rows(documents, odd, empty):
     model = langid.fit(documents)
     got = {(r.doc_id, r.lang_pred == "und") for r in langid.identify(odd, model, ["doc_id"]).collect()}
