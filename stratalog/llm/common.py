@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,10 +14,13 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset in a local session, as in tests. On
+    a cluster without it this is an error, as no folder of one machine can serve the others."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="stratalog-")
@@ -59,6 +63,25 @@ def global_rank(df: DataFrame, order: list, tag: str, name: str = "rank") -> Dat
     return out
 
 
+#: A class with more than this share of all rows is hot; there are fewer of them than its inverse.
+HOT_SHARE = 1000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: Column, total: int, take: list[str]) -> DataFrame:
+    """rows left-joined with classes (one row a key, with `size` rows each) on keys, which may be null, adding `take`.
+
+    Classes that hold more than a thousandth of all rows, of which there are less than a thousand, go to every task; the rest
+    are joined by shuffle, where no key has more rows than that. So no task gathers a hot class."""
+    hot = size * HOT_SHARE > F.lit(total)
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    side = classes.select(*[F.col(k).alias(n) for k, n in names.items()], *take, hot.alias("_hot"))
+    met = lambda right: functools.reduce(lambda a, b: a & b, [rows[k].eqNullSafe(right[n]) for k, n in names.items()])
+    few, rest = F.broadcast(side.where("_hot")), side.where("not _hot")
+    cold = rows.join(few, met(few), "left_anti")
+    drop = [*names.values(), "_hot"]
+    return rows.join(few, met(few)).drop(*drop).unionByName(cold.join(rest, met(rest), "left").drop(*drop))
+
+
 def connected_components(edges: DataFrame, tag: str) -> DataFrame:
     """(node, component) for all nodes of edges (a, b): the smallest node reachable.
 

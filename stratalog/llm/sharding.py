@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_rank, materialize, release
+from .common import global_rank, join_classes, materialize, release
 
 
 def _quotas(demand: dict, sizes: list[int], cap: int) -> dict:
@@ -23,51 +23,63 @@ def _quotas(demand: dict, sizes: list[int], cap: int) -> dict:
             for s, x in want.items():
                 if x:
                     allowed[s, t] = allowed.get((s, t), 0) + x * min(1.0, free[t] / total)
-    return allowed
+    return {k: x for k, x in allowed.items() if x > 0}
 
 
-def balanced_label_propagation(rows: DataFrame, n_shards: int, rounds: int = 6, slack: float = 1.25) -> DataFrame:
-    """Shard labels for rows (uid unique, link: rows with equal link are linked; null: linked with nothing).
+def balanced_label_propagation(votes: DataFrame, total: int, n_shards: int, rounds: int = 6, slack: float = 1.25) -> DataFrame:
+    """Where the members of each link go: (link, shard, n), members with one link being alike.
 
-    Rows start in hashed shards. In each round a link's members vote: counts by (link, shard) are combined before the
-    shuffle, the fullest shard wins, and members elsewhere move there as far as the quotas between the two shards allow; a
-    link that outgrows its quota moves in part. All that reaches the driver is a shards by shards table of counts.
-    Returns uid, link, shard; sizes stay within `slack`, and enforce_rows() makes them equal, at which each of the bounds
-    between shards cuts one link at most.
+    votes (link, shard, n) counts the members of every link by the shard they start in; total counts all rows, those that
+    nothing links too, which give way later. In each round the fullest shard of a link is its target: a join tells every
+    (link, shard) its target, and its members move there as far as the quota between the two shards allows, whole links by
+    chance, those larger than the quota in part. A round works on these counts, at most links times shards rows; no row of
+    the documents takes part. All that reaches the driver is a shards by shards table. No move takes a shard's linked rows
+    past `slack` times an equal share of all rows.
     """
-    state = materialize(rows.select("uid", "link", F.pmod(F.xxhash64("uid"), F.lit(n_shards)).cast("int").alias("shard")), "shard-state")
+    state = votes
     for r in range(rounds):
-        votes = materialize(state.where("link is not null").groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n")), "shard-votes")
-        best = votes.groupBy("link").agg(F.max_by("shard", F.struct("n", F.xxhash64("link", "shard"))).alias("target"), F.sum("n").alias("members")).where("members > 1")
-        moves = votes.join(best, "link").where("shard <> target")
-        demand = {(x.shard, x.target): x.n for x in moves.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()}
-        held = {x["shard"]: x["count"] for x in state.groupBy("shard").count().collect()}
-        sizes = [held.get(k, 0) for k in range(n_shards)]
-        allowed = _quotas(demand, sizes, int(slack * sum(sizes) / n_shards) + 1)
+        best = state.groupBy("link").agg(F.max_by("shard", F.struct("n", F.xxhash64("link", "shard"))).alias("target"))
+        aimed = materialize(state.join(best, "link"), "shard-votes")
+        met = {(x.shard, x.target): x.n for x in aimed.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()}
+        sizes = [sum(n for (at, _), n in met.items() if at == s) for s in range(n_shards)]
+        demand = {k: n for k, n in met.items() if k[0] != k[1]}
+        allowed = _quotas(demand, sizes, int(slack * total / n_shards) + 1)
         if not allowed:
-            release(votes)
+            release(aimed)
             break
-        quota = state.sparkSession.createDataFrame([(s, t, float(x), min(1.0, x / demand[s, t])) for (s, t), x in allowed.items()], "shard int, target int, quota double, odds double")
+        spark = votes.sparkSession
+        odds = [(s, t, float(x), min(1.0, x / demand[s, t])) for (s, t), x in allowed.items()]
+        quota = spark.createDataFrame(odds, "shard int, target int, quota double, odds double")
+        chance = F.pmod(F.xxhash64("link", "shard", F.lit(r)), F.lit(1 << 20)) / (1 << 20)
+        part = F.floor(F.col("n") * F.col("odds"))
+        whole = F.when(chance < F.col("odds"), F.col("n")).otherwise(F.lit(0))
+        moves = F.when(F.col("odds").isNull(), F.lit(0)).when(F.col("n") > F.col("quota"), part).otherwise(whole).cast("long")
         # at most shards squared rows
-        granted = moves.join(F.broadcast(quota), ["shard", "target"]).select("link", "shard", "target", "odds", (F.col("n") > F.col("quota")).alias("in_part"))
-        chance = lambda *c: F.pmod(F.xxhash64(*c, F.lit(r)), F.lit(1 << 20)) / (1 << 20)  # noqa: E731, B023
-        lucky = F.when(F.col("in_part"), chance("uid")).otherwise(chance("link", "shard")) < F.col("odds")
-        moved = state.join(granted, ["link", "shard"], "left").select("uid", "link", F.when(F.col("odds").isNotNull() & lucky, F.col("target")).otherwise(F.col("shard")).alias("shard"))
-        nxt = materialize(moved, "shard-state")
-        release(state, votes)
+        told = aimed.join(F.broadcast(quota), ["shard", "target"], "left").withColumn("move", moves)
+        ways = F.array(
+            F.struct(F.col("shard").alias("shard"), (F.col("n") - F.col("move")).alias("n")),
+            F.struct(F.col("target").alias("shard"), F.col("move").alias("n")),
+        )
+        spread = told.select("link", F.explode(ways).alias("w")).select("link", "w.shard", "w.n").where("n > 0")
+        nxt = materialize(spread.groupBy("link", "shard").agg(F.sum("n").alias("n")), "shard-state")
+        release(aimed, state)
         state = nxt
     return state
 
 
 def enforce_rows(state: DataFrame, n_shards: int) -> DataFrame:
-    """Final quotas: counts at most one apart. Within each shard the unlinked rows stand at both ends and links are whole in
-    between, so that the ends, not the links, give way when a shard is over or under its share. Adds shard and slot."""
-    side = F.when(F.col("link").isNull(), F.when(F.pmod(F.xxhash64("uid"), F.lit(2)) == 0, 0).otherwise(2)).otherwise(1)
-    ranked = global_rank(state.withColumn("_side", side), [F.col("shard"), F.col("_side"), F.col("link"), F.col("uid")], "shard-rank")
+    """Final quotas for rows (doc_id, link, shard): counts at most one apart. Within each shard the unlinked rows stand at both
+    ends and links are whole in between, so that the ends, not the links, give way when a shard is over or under its share;
+    each of the bounds between shards cuts one link at most. Adds shard and slot."""
+    half = F.when(F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(2)) == 0, 0).otherwise(2)
+    side = F.when(F.col("link").isNull(), half).otherwise(1)
+    order = [F.col("shard"), F.col("_side"), F.col("link"), F.col("doc_id"), F.col("text_crc32")]
+    ranked = global_rank(state.withColumn("_side", side), order, "shard-rank")
     n = ranked.count()
     shard = F.floor(((F.col("rank") + 1) * n_shards - 1) / F.lit(max(n, 1))).cast("int")
     whole = lambda c: (c * F.lit(n) - F.pmod(c * F.lit(n), F.lit(n_shards))) / F.lit(n_shards)
-    return ranked.withColumn("shard", shard).withColumn("slot", F.col("rank") - whole(F.col("shard").cast("long")).cast("long")).drop("rank", "_side")
+    placed = ranked.withColumn("shard", shard)
+    return placed.withColumn("slot", F.col("rank") - whole(F.col("shard").cast("long")).cast("long")).drop("rank", "_side")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = 6) -> DataFrame:
@@ -78,15 +90,46 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = 6) -> Data
     broken by hashes, an empty table gives an empty result, other columns are ignored.
     """
     text = F.encode(F.col("text"), "UTF-8")
-    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), F.sha2("text", 256).alias("sha"))
-    rows = global_rank(rows, ["sha", "doc_id", "text_crc32"], "shard-rows", "uid")
-    # a text that only one row has links nothing: its link is dropped
-    shared = rows.where("sha is not null").groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("link")).where("n > 1").select("sha", "link")
-    linked = materialize(rows.join(shared, "sha", "left").drop("sha"), "shard-linked")
-    release(rows)
-    state = balanced_label_propagation(linked, n_shards, rounds)
-    placed = enforce_rows(state, n_shards).select("uid", "shard", "slot")
-    return linked.join(placed, "uid").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    start = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)).cast("int")
+    rows = docs.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
+        F.unhex(F.sha2("text", 256)).alias("sha"),
+        start.alias("shard"),
+    )
+    rows = materialize(rows, "shard-rows")
+    # a text that only one row has links nothing; counts are combined before the shuffle
+    counts = rows.where("sha is not null").groupBy(F.col("sha").alias("link"), "shard").agg(F.count(F.lit(1)).alias("n"))
+    shared = counts.groupBy("link").agg(F.sum("n").alias("m")).where("m > 1").select("link")
+    votes = materialize(counts.join(shared, "link"), "shard-votes")
+    total = rows.count()
+    state = balanced_label_propagation(votes, total, n_shards, rounds)
+    held = {x["shard"]: x["n"] for x in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    # unlinked rows fill what the links leave of each shard's share
+    room = [max(total / n_shards - held.get(s, 0), 0.0) for s in range(n_shards)]
+    fill, upto = F.lit(n_shards - 1), sum(room)
+    draw = F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("fill")), F.lit(1 << 20)) / (1 << 20)
+    for s in range(n_shards - 1, 0, -1):
+        upto -= room[s]
+        fill = F.when(draw < upto / max(sum(room), 1e-9), s - 1).otherwise(fill)
+    # a link's members by shard, as running shares; members fall into them by hash
+    parts = F.array_sort(F.collect_list(F.struct("shard", "n")))
+    links = materialize(state.groupBy("link").agg(parts.alias("parts"), F.sum("n").alias("m")), "shard-links")
+    joined = join_classes(rows, links.withColumnRenamed("link", "sha"), ["sha"], F.col("m"), total, ["parts", "m"])
+    u = F.floor(F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("place")), F.lit(1 << 20)) * F.col("m") / (1 << 20))
+    first = F.lit(0).cast("long")
+    walk = F.aggregate(
+        "parts",
+        F.struct(first.alias("upto"), F.lit(-1).alias("shard")),
+        lambda a, p: F.struct((a["upto"] + p["n"]).alias("upto"), F.when((a["shard"] < 0) & (u < a["upto"] + p["n"]), p["shard"]).otherwise(a["shard"]).alias("shard")),
+    )
+    linked = F.col("m").isNotNull()
+    to = F.when(linked, walk["shard"]).otherwise(fill)
+    state_rows = joined.select("doc_id", "size", "text_crc32", F.when(linked, F.col("sha")).alias("link"), to.alias("shard"))
+    placed = enforce_rows(state_rows, n_shards)
+    release(votes)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_shard_documents(spark, sf_dir: str) -> DataFrame:
