@@ -76,9 +76,11 @@ def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: Col
     names = {k: f"_k{i}" for i, k in enumerate(keys)}
     side = classes.select(*[F.col(k).alias(n) for k, n in names.items()], *take, hot.alias("_hot"))
     met = lambda right: functools.reduce(lambda a, b: a & b, [rows[k].eqNullSafe(right[n]) for k, n in names.items()])
+    drop = [*names.values(), "_hot"]
+    if side.where("_hot").isEmpty():
+        return rows.join(side, met(side), "left").drop(*drop)
     few, rest = F.broadcast(side.where("_hot")), side.where("not _hot")
     cold = rows.join(few, met(few), "left_anti")
-    drop = [*names.values(), "_hot"]
     return rows.join(few, met(few)).drop(*drop).unionByName(cold.join(rest, met(rest), "left").drop(*drop))
 
 

@@ -34,7 +34,8 @@ def balanced_label_propagation(votes: DataFrame, total: int, n_shards: int, roun
     (link, shard) its target, and its members move there as far as the quota between the two shards allows, whole links by
     chance, those larger than the quota in part. A round works on these counts, at most links times shards rows; no row of
     the documents takes part. All that reaches the driver is a shards by shards table. No move takes a shard's linked rows
-    past `slack` times an equal share of all rows.
+    past `slack` times an equal share of all rows. Links that are still apart after the last round, but would fit a shard,
+    gather at their target: the final quotas cut one link a bound at most, wherever links are whole.
     """
     state = votes
     for r in range(rounds):
@@ -64,7 +65,10 @@ def balanced_label_propagation(votes: DataFrame, total: int, n_shards: int, roun
         nxt = materialize(spread.groupBy("link", "shard").agg(F.sum("n").alias("n")), "shard-state")
         release(aimed, state)
         state = nxt
-    return state
+    last = state.groupBy("link").agg(F.max_by("shard", F.struct("n", F.xxhash64("link", "shard"))).alias("target"), F.sum("n").alias("m"))
+    fits = F.col("m") * n_shards <= F.lit(total)
+    settled = state.join(last, "link").select("link", F.when(fits, F.col("target")).otherwise(F.col("shard")).alias("shard"), "n")
+    return materialize(settled.groupBy("link", "shard").agg(F.sum("n").alias("n")), "shard-settled")
 
 
 def enforce_rows(state: DataFrame, n_shards: int) -> DataFrame:
