@@ -7,122 +7,138 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
 from .textops import LETTER, doc_of, slices, small_batches, word_bounds, word_hashes
 
 #: Labelled documents that the model is fitted on, at most about so many.
 SAMPLE = 16_000
-#: A term counts if its G statistic with the label reaches this; the strongest MOST_TERMS are kept.
-G_LEAST, MOST_TERMS, DF_LEAST = 25.0, 1024, 3
+#: Terms are hashed into 2 ** BITS buckets. A bucket that fewer sampled documents have is left out, whatever their labels.
+BITS, DF_LEAST = 24, 4
+#: Weight of the pair part in a document with one term; how fast weights shrink and factors decay in training.
+PAIRS, SHRINK, DECAY = 8.0, 3e-4, 1e-2
 PREFIXES = (4, 5, 6)
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray):
-    """(hash, document) of every word and of its leading 4, 5 and 6 bytes, which catch the forms that a stem takes."""
+    """(bucket, document) of every word and of its leading 4, 5 and 6 bytes, which catch the forms that a stem takes."""
     starts, ends = word_bounds(data, offsets, LETTER)
     hashes, places = [word_hashes(data, starts, ends)], [starts]
     for n in PREFIXES:
         longer = np.flatnonzero(ends - starts > n)
         hashes.append(word_hashes(data, starts[longer], starts[longer] + n) ^ np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         places.append(starts[longer])
-    return np.concatenate(hashes), doc_of(np.concatenate(places), offsets)
+    return (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64), doc_of(np.concatenate(places), offsets)
 
 
-def _distinct(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each document's distinct values, in order."""
-    order = np.lexsort((h, d))
-    h, d = h[order], d[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else np.zeros(0, bool)
-    return h[new], d[new]
+def _distinct(bucket: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's distinct buckets, in order."""
+    both = np.unique((d << BITS) + bucket)
+    return both & ((1 << BITS) - 1), both >> BITS
 
 
-def _term_rows(batches):
+def _sample_rows(batches):
     for batch in batches:
-        labels = batch.column("toxic").to_numpy(zero_copy_only=False)
-        for lo, _, data, offsets in slices(batch.column("text")):
+        labels, out = batch.column("toxic").to_pylist(), []
+        for lo, hi, data, offsets in slices(batch.column("text")):
             h, d = _distinct(*_terms(data, offsets))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(labels[lo + d].astype(np.int32))], names=["term", "toxic"])
-
-
-def _document_rows(terms: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            labels, out = batch.column("toxic").to_pylist(), []
-            for lo, hi, data, offsets in slices(batch.column("text")):
-                h, d = _terms(data, offsets)
-                at = np.searchsorted(terms, h)
-                has = np.flatnonzero(terms[np.minimum(at, len(terms) - 1)] == h)
-                cols, d = _distinct(at[has], d[has])
-                cut = np.searchsorted(d, np.arange(hi - lo + 1))
-                out += [(labels[lo + i], cols[cut[i] : cut[i + 1]].astype(np.int32).tobytes()) for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["toxic", "terms"])
-
-    return run
-
-
-def train(terms: np.ndarray, sample: list[tuple[int, np.ndarray]], factors: int = 6, epochs: int = 60, batch: int = 64, seed: int = 4) -> dict:
-    """Fit bias, weights w and factors v of score = sigmoid(bias + w.x + sum of (v_i.v_j) x_i x_j over pairs) by Adagrad, x
-    being the presence of the terms. sample: label and places of the terms of each document."""
+            cut = np.searchsorted(d, np.arange(hi - lo + 1))
+            h = h.astype(np.int32)
+            out += [(labels[lo + i], h[cut[i] : cut[i + 1]].tobytes()) for i in range(hi - lo)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["toxic", "terms"])
+
+
+class _Batch:
+    """Some documents' places of terms, one after the other, and the same sorted by term, so that sums need no scatter."""
+
+    def __init__(self, y: np.ndarray, at: list[np.ndarray]):
+        n = np.array([len(x) for x in at])
+        self.y, self.n = y, n
+        self.full = np.flatnonzero(n)
+        self.starts = (np.cumsum(n) - n)[self.full]
+        self.at = np.concatenate(at) if len(at) else np.zeros(0, np.int32)
+        self.doc = np.repeat(np.arange(len(at), dtype=np.int32), n)
+        self.order = np.argsort(self.at, kind="stable").astype(np.int32)
+        by = self.at[self.order]
+        self.cut = np.flatnonzero(np.r_[True, by[1:] != by[:-1]]) if len(by) else np.zeros(0, np.int64)
+        self.terms = by[self.cut]
+
+    def by_doc(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.y), *x.shape[1:]), x.dtype)
+        if len(self.full):
+            out[self.full] = np.add.reduceat(x, self.starts, axis=0)
+        return out
+
+    def by_term(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x[self.order], self.cut, axis=0) if len(self.cut) else x[:0]
+
+
+def train(sample: list[tuple[int, np.ndarray]], factors: int = 4, least_steps: int = 600, epochs: int = 4, batch: int = 128, seed: int = 4) -> dict:
+    """Fit bias, weights w and factors v of a factorization machine on the terms that a document has: score = sigmoid(bias +
+    sum of w_i + sum of v_i.v_j over pairs * PAIRS / n), n being the number of its terms, so that long documents do not drown
+    in pairs. Proximal Adagrad: a weight shrinks towards zero and stays there unless it keeps telling something; factors
+    decay. The factors begin to learn after a third of the steps, on what the weights alone leave unexplained.
+    sample: label and buckets of each document."""
     y = np.array([x[0] for x in sample], np.float32)
     n, pos = len(sample), float(y.sum())
-    w, b = np.zeros(len(terms), np.float32), np.float32(np.log((pos + 0.5) / (n - pos + 0.5)))
+    every = np.concatenate([x[1] for x in sample]) if sample else np.zeros(0, np.int32)
+    terms, df = np.unique(every, return_counts=True)
+    terms = terms[df >= DF_LEAST]
+    del every
     rng = np.random.default_rng(seed)
-    v = rng.normal(0, 0.05, (len(terms), factors)).astype(np.float32)
-    x = np.zeros((n, len(terms)), np.float32)
-    for i, (_, at) in enumerate(sample):
-        x[i, at] = 1
-    gw, gv, gb = np.full_like(w, 1e-2), np.full_like(v, 1e-2), 1e-2
-    for _ in range(epochs if len(terms) else 0):
-        order = rng.permutation(n)
-        for lo in range(0, n, batch):
-            r = order[lo : lo + batch]
-            xb, xv = x[r], x[r] @ v
-            z = b + xb @ w + 0.5 * ((xv**2).sum(1) - xb @ (v**2).sum(1))
-            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[r]) / len(r)
-            dw = xb.T @ err + 1e-6 * w
-            dv = xb.T @ (err[:, None] * xv) - v * (xb.T @ err)[:, None] + 1e-5 * v
-            db = err.sum()
-            gw += dw**2
-            gv += dv**2
-            gb += db**2
-            w -= 0.5 * dw / np.sqrt(gw)
-            v -= 0.05 * dv / np.sqrt(gv)
-            b -= 0.1 * db / np.sqrt(gb)
-    return {"terms": terms, "w": w.astype(np.float64), "v": v.astype(np.float64), "bias": float(b)}
-
-
-def informative_terms(rows: DataFrame, n: int, pos: int) -> np.ndarray:
-    """The hashed terms of rows (text, toxic) whose presence tells the label apart by a G test, counted by Spark."""
-    counts = rows.mapInArrow(_term_rows, "term long, toxic int").groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("toxic").cast("double").alias("hits")).where(F.col("df") >= DF_LEAST)
-    df, hits = F.col("df"), F.col("hits")
-    cell = lambda seen, expected: F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
-    g = cell(hits, df * pos / n) + cell(df - hits, df * (n - pos) / n) + cell(pos - hits, (n - df) * pos / n) + cell(n - pos - df + hits, (n - df) * (n - pos) / n)
-    told = counts.withColumn("g", 2 * g).where(F.col("g") >= G_LEAST).orderBy(F.desc("g"), "term").limit(MOST_TERMS).select("term").collect()
-    return np.sort(np.array([r.term for r in told], np.int64).view(np.uint64))
+    b = np.float32(np.log((pos + 0.5) / (n - pos + 0.5)))
+    w, v = np.zeros(len(terms), np.float32), rng.normal(0, 0.1, (len(terms), factors)).astype(np.float32)
+    gw, gv, gb = np.full(len(terms), 1e-3, np.float32), np.full(v.shape, 1e-4, np.float32), 1e-2
+    places = []
+    for _, t in sample:
+        at = np.searchsorted(terms, t)
+        has = (at < len(terms)) & (terms[np.minimum(at, max(len(terms) - 1, 0))] == t) if len(terms) else np.zeros(len(t), bool)
+        places.append(at[has].astype(np.int32))
+    order = rng.permutation(n)
+    batches = [_Batch(y[r], [places[i] for i in r]) for r in np.array_split(order, max(1, n // batch))] if len(terms) and 0 < pos < n else []
+    del places
+    steps = max(least_steps, epochs * len(batches)) if batches else 0
+    for k in range(steps):
+        if k % len(batches) == 0:
+            turn = rng.permutation(len(batches))
+        x = batches[turn[k % len(batches)]]
+        rate, pairs = 1 - k / steps, k >= steps // 3
+        z = b + x.by_doc(w[x.at])
+        if pairs:
+            vt = v[x.at]
+            total = x.by_doc(vt)
+            scale = (PAIRS / np.maximum(x.n, 1)).astype(np.float32)
+            z += 0.5 * scale * ((total**2).sum(1) - x.by_doc((vt**2).sum(1)))
+        err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - x.y) / len(x.y)).astype(np.float32)
+        t = x.terms
+        dw = x.by_term(err[x.doc])
+        gw[t] += dw**2
+        step = 0.3 * rate / np.sqrt(gw[t])
+        now = w[t] - step * dw
+        w[t] = np.sign(now) * np.maximum(np.abs(now) - step * SHRINK, 0)
+        if pairs:
+            dv = x.by_term((err * scale)[x.doc][:, None] * (total[x.doc] - vt)) + DECAY * v[t]
+            gv[t] += dv**2
+            v[t] -= 0.1 * rate / np.sqrt(gv[t]) * dv
+        gb += err.sum() ** 2
+        b -= 0.1 * rate * err.sum() / np.sqrt(gb)
+    return {"terms": terms.astype(np.int64), "w": w.astype(np.float64), "v": v.astype(np.float64), "bias": float(b)}
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, **how) -> dict:
-    """Train on about `sample` rows (doc_id, text, toxic) at most, chosen by hash. Terms are counted on the executors; the
-    driver gets the chosen terms, MOST_TERMS at most, and which of them each sampled document has."""
+    """Train on about `sample` rows (doc_id, text, toxic) at most, chosen by hash; their buckets are made on the executors."""
     small_batches(labelled.sparkSession)
     rows = labelled.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
     total = rows.count()
     chance = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) / (1 << 20)
-    chosen = materialize(rows.where(chance < min(1.0, sample / max(total, 1))).select("text", "toxic"), "toxic-sample")
-    n, pos = chosen.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    if not n or pos in (0, n):
-        return train(np.zeros(0, np.uint64), [(1, np.zeros(0, np.int32))] * (pos or 0) + [(0, np.zeros(0, np.int32))] * (n - (pos or 0)))
-    terms = informative_terms(chosen, n, pos)
-    got = chosen.mapInArrow(_document_rows(terms), "toxic int, terms binary").collect() if len(terms) else chosen.select("toxic", F.lit(b"").alias("terms")).collect()
-    release(chosen)
-    return train(terms, sorted(((r.toxic, np.frombuffer(r.terms, np.int32)) for r in got), key=lambda x: (x[0], x[1].tobytes())), **how)
+    chosen = rows.where(chance < min(1.0, sample / max(total, 1)))
+    got = chosen.select("text", "toxic").mapInArrow(_sample_rows, "toxic int, terms binary").collect()
+    return train(sorted(((r.toxic, np.frombuffer(r.terms, np.int32)) for r in got), key=lambda x: (x[0], x[1].tobytes())), **how)
 
 
 def _scorer(model: dict, keep: list[str]):
     terms, w, v, bias = model["terms"], model["w"], model["v"], model["bias"]
-    maybe = np.zeros(1 << 16, bool)
-    maybe[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
     square = (v**2).sum(1)
+    maybe = np.zeros(1 << BITS >> 3, bool)
+    maybe[terms >> 3] = True
 
     def run(batches):
         for batch in batches:
@@ -130,15 +146,16 @@ def _scorer(model: dict, keep: list[str]):
             for lo, hi, data, offsets in slices(batch.column("text")):
                 h, d = _terms(data, offsets)
                 z = np.full(hi - lo, bias)
-                at = np.flatnonzero(maybe[(h & np.uint64(0xFFFF)).astype(np.int64)]) if len(terms) else np.zeros(0, np.int64)
-                place = np.searchsorted(terms, h[at])
-                real = (place < len(terms)) & (terms[np.minimum(place, len(terms) - 1)] == h[at]) if len(at) else np.zeros(0, bool)
+                at = np.flatnonzero(maybe[h >> 3]) if len(terms) else np.zeros(0, np.int64)
+                h, d = _distinct(h[at], d[at])
+                place = np.minimum(np.searchsorted(terms, h), max(len(terms) - 1, 0))
+                real = terms[place] == h if len(h) else np.zeros(0, bool)
                 if real.any():
-                    pairs = np.unique(d[at[real]] * len(terms) + place[real])
-                    rows, cols = pairs // len(terms), pairs % len(terms)
-                    total = np.zeros((hi - lo, v.shape[1]))
-                    np.add.at(total, rows, v[cols])
-                    z += np.bincount(rows, weights=w[cols] - 0.5 * square[cols], minlength=hi - lo) + 0.5 * (total**2).sum(1)
+                    rows, cols = d[real], place[real]
+                    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+                    total, scale = np.add.reduceat(v[cols], first, axis=0), PAIRS / np.diff(np.r_[first, len(rows)])
+                    twice = (total**2).sum(1) - np.add.reduceat(square[cols], first)
+                    z[rows[first]] += np.add.reduceat(w[cols], first) + 0.5 * scale * twice
                 score[lo:hi] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 

@@ -184,6 +184,48 @@ def test_toxicity_learns_a_pair(spark):
     assert sum(r.predicted == r.toxic for r in got) >= 0.98 * len(got)
 
 
+def test_toxicity_learns_exclusive_or(spark):
+    """Each word alone, and how many there are, tells nothing: only the pair does."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"w{rng.randrange(200)}x" for _ in range(8)] + ["klutz"] * a + ["folk"] * b
+        rows.append((i, " ".join(words), int(a != b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.where("doc_id % 3 <> 0"))
+    got = toxicity.score_toxicity(df.where("doc_id % 3 = 0"), model, ["doc_id", "toxic"]).collect()
+    assert sum(r.predicted == r.toxic for r in got) >= 0.95 * len(got)
+
+
+def test_toxicity_scores_by_the_formula(documents, odd):
+    """bias + sum of w_i + sum over pairs of v_i.v_j * PAIRS / n, over a document's distinct known terms, one by one."""
+    labels = documents.select("doc_id", F.col("text").contains("e").cast("int").alias("toxic"), "text").limit(150)
+    model = toxicity.fit(labels.withColumn("toxic", (F.col("doc_id") % 3 == 0).cast("int")))
+    place = {int(t): i for i, t in enumerate(model["terms"])}
+
+    def plainly(text):
+        words = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in (text or "")).encode().lower().split()
+        has = set()
+        for w in words:
+            for n in (None, *toxicity.PREFIXES):
+                if n is None or len(w) > n:
+                    raw = np.frombuffer(w[:n] if n else w, np.uint8)
+                    h = textops.word_hashes(raw, np.array([0]), np.array([len(raw)]))[0]
+                    h = int(h) ^ (n * 0x9E3779B97F4A7C15 & (1 << 64) - 1 if n else 0)
+                    has.add(h >> 64 - toxicity.BITS)
+        at = sorted(place[t] for t in has if t in place)
+        z = model["bias"] + sum(model["w"][i] for i in at)
+        pairs = sum(float(model["v"][i] @ model["v"][j]) for i, j in itertools.combinations(at, 2))
+        z += toxicity.PAIRS * pairs / len(at) if at else 0
+        return 1 / (1 + np.exp(-min(30, max(-30, z))))
+
+    rows = documents.select("doc_id", "text").limit(25).collect() + [r for r in odd.select("doc_id", "text").collect() if len(r.text or "") < 1000]
+    got = toxicity.score_toxicity(odd.sparkSession.createDataFrame([(i, r.text) for i, r in enumerate(rows)], "i long, text string"), model, ["i"])
+    for r in got.collect():
+        assert r.score == pytest.approx(plainly(rows[r.i].text), rel=1e-6)
+
+
 def test_toxicity_odd_rows(odd, empty):
     model = toxicity.fit_on_labels(odd, odd.select("doc_id", F.lit(0).alias("toxic")))
     got = toxicity.score_toxicity(odd, model, ["doc_id"]).collect()
