@@ -15,14 +15,14 @@ from .common import materialize
 from .textops import _INVERSE, _PRIME, _powers, mix, small_batches
 
 SEQUENCE = 2048
-#: Tokens of a window, over which the proportions are kept.
-WINDOW = 64 * SEQUENCE
-#: Sources have a queue each up to this number; beyond it they share queues by hash, which changes proportions only.
-MOST_QUEUES = 4096
+#: Sequences of a window, over which the proportions are kept; a window has one for each source, if these are more.
+WINDOW = 64
 #: Rows of about 40 bytes that are still sent to all tasks.
 MOST_BASES = 200_000
 END_ID = 1
 CACHE_WORDS = 400_000
+#: Characters of a piece in which longer texts are encoded.
+PIECE = 1 << 19
 LONG_WORD = 64
 _CONTRACTION = regex.compile(r"'(?:s|t|re|ve|m|ll|d)")
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
@@ -79,12 +79,15 @@ class WordTokenizer:
         self.ids, self.used = np.zeros(1 << 18, np.uint16), 0
 
     def whole(self, text: str) -> np.ndarray:
+        return self.wholes([text])[0]
+
+    def wholes(self, texts: list[str]) -> list[np.ndarray]:
         if self._whole is None:
             from tokenizers import Tokenizer
 
             self._whole = Tokenizer.from_file(self.path)
             self._whole.encode_special_tokens = True
-        return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.uint16)
+        return [np.array(x.ids, np.uint16) for x in self._whole.encode_batch(texts, add_special_tokens=False)]
 
     def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids, one after the other, and their numbers. Words go in one text, a line each: a line end is a word and
@@ -159,24 +162,41 @@ class WordTokenizer:
         return np.split(out, tokens[:-1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        group, size = [], 0
-        for i, t in enumerate(texts):
-            if not t:
-                out[i] = np.zeros(0, np.uint16)
-            elif not _covered(t):
-                out[i] = self.whole(t)
-            else:
-                group.append(i)
-                size += len(t)
-            if group and (size > 1 << 19 or i == len(texts) - 1):
-                for j, ids in zip(group, self.plain([texts[j] for j in group]), strict=True):
-                    out[j] = ids
-                group, size = [], 0
-        if group:
-            for j, ids in zip(group, self.plain([texts[j] for j in group]), strict=True):
-                out[j] = ids
-        return out
+        """Each text's ids. Long texts are cut where it changes nothing, so memory follows PIECE, not the longest text."""
+        made: list[list[np.ndarray]] = [[] for _ in texts]
+        for covered, encode in ((True, self.plain), (False, self.wholes)):
+            group, size = [], 0
+            for i, t in enumerate(texts):
+                for piece in _cuts(t) if _covered(t) == covered else ():
+                    if group and size + len(piece) > PIECE:
+                        self._flush(made, group, encode)
+                        group, size = [], 0
+                    group.append((i, piece))
+                    size += len(piece)
+            if group:
+                self._flush(made, group, encode)
+        return [m[0] if len(m) == 1 else np.concatenate(m or [np.zeros(0, np.uint16)]) for m in made]
+
+    @staticmethod
+    def _flush(made: list, group: list, encode) -> None:
+        for (i, _), ids in zip(group, encode([piece for _, piece in group]), strict=True):
+            made[i].append(ids)
+
+
+_CUT = regex.compile(r"(?<=\S) ")
+
+
+def _cuts(text: str):
+    """Pieces of a text of about PIECE characters, cut before a space that follows something else: there a word always ends."""
+    at = 0
+    while len(text) - at > PIECE:
+        m = _CUT.search(text, at + PIECE)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    if at < len(text):
+        yield text[at:]
 
 
 def _covered(t: str) -> bool:
@@ -217,7 +237,7 @@ class Rounds:
     window cannot serve is carried as a deficit, so that after k windows a queue has been served floor(k * share) tokens. A
     window holds the queues' turns in order; all is a formula of the queues' totals, hence the same in every partition."""
 
-    def __init__(self, totals: list[int], window: int = WINDOW, weights: list[float] | None = None):
+    def __init__(self, totals: list[int], window: int = WINDOW * SEQUENCE, weights: list[float] | None = None):
         self.total = np.array(totals, np.int64)
         self.window = window
         self.rate = np.array(weights if weights is not None else totals, np.float64)
@@ -256,7 +276,7 @@ class Rounds:
         if not hasattr(self, "_kept"):
             self._kept: dict = {}
         if k not in self._kept:
-            if len(self._kept) > 256:
+            if len(self._kept) * len(self.total) > 1 << 20:  # places are asked for in the order of windows
                 self._kept.clear()
             s = self.served(k)[0]
             self._kept[k] = (s, np.cumsum(s) - s, s.sum())
@@ -268,46 +288,54 @@ def _pieces(totals: list[int], length: int, window: int, weights):
         rounds = Rounds(totals, window, weights)
         for batch in batches:
             cols: list = [[] for _ in range(7)]
-            for doc, q, at, n, raw in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "rank", "at", "n", "ids")], strict=True):
+            rows = list(zip(*[batch.column(c).to_pylist() for c in ("doc_id", "rank", "at", "n", "ids")], strict=True))
+            # in the order of windows, as a window's turns are computed once for all its rows
+            for doc, q, at, n, raw in sorted(rows, key=lambda r: r[2] / max(totals[r[1]], 1)):
                 ids = np.frombuffer(raw, np.uint16).astype("<u4")
                 for start, size, place in rounds.pieces(q, at, n):
                     while size:
                         take = min(size, length - place % length)
-                        for c, x in zip(cols, (doc, start, take, zlib.crc32(ids[start : start + take]), n, place // length, place % length), strict=True):
+                        piece = (doc, start, take, zlib.crc32(ids[start : start + take]), n, place // length, place % length)
+                        for c, x in zip(cols, piece, strict=True):
                             c.append(x)
                         start, size, place = start + take, size - take, place + take
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, window: int = WINDOW, end_id: int = END_ID, weights: dict | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, window: int | None = None, end_id: int = END_ID, weights: dict | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece of a document in a sequence.
 
-    Every source is a queue of its documents' tokens, each document ending with end_id. Windows are filled by rounds over the
-    queues to the proportions of `weights` (by source; by default the sources' own tokens, so that all queues end together);
-    a queue that ends early leaves its share to the others. All sequences are full but the last. A null or empty text is the
-    end id alone; a null source is a queue of its own; repeated rows are packed each; an empty table gives an empty result;
-    other columns are ignored. Token ids are kept once, in the shared folder, in the order they were read.
+    Every source, however many there are, is a queue of its documents' tokens, each document ending with end_id. Windows are
+    filled by rounds over the queues to the proportions of `weights` (by source, 1 for those not named; by default the
+    sources' own tokens, so that all queues end together); a queue that ends early leaves its share to the others. A window
+    has `window` tokens; by default WINDOW sequences, or one a source if these are more. All sequences are full but the last.
+    A null or empty text is the end id alone; a null source is a queue of its own; repeated rows are packed each; an empty
+    table gives an empty result; other columns are ignored. Token ids are kept once, in the shared folder, in the order they
+    were read. Every task holds the queues' totals, 24 bytes a source.
     """
-    small_batches(docs.sparkSession)
-    many = docs.select("source").distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES
-    queue = F.when(F.lit(many), F.concat(F.lit("h"), F.pmod(F.xxhash64("source"), F.lit(MOST_QUEUES)).cast("string"))).otherwise(F.concat(F.lit("s"), F.col("source")))
-    rows = docs.select("doc_id", F.coalesce(queue, F.lit("null")).alias("queue"), F.spark_partition_id().alias("part"), "text")
-    ids = materialize(rows.mapInArrow(_tokenize(tokenizer, end_id), "doc_id long, queue string, part int, at long, n long, ids binary"), "pack-ids")
+    spark = docs.sparkSession
+    small_batches(spark)
+    queue = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")).alias("queue")
+    rows = docs.select("doc_id", queue, F.spark_partition_id().alias("part"), "text")
+    shape = "doc_id long, queue string, part int, at long, n long, ids binary"
+    ids = materialize(rows.mapInArrow(_tokenize(tokenizer, end_id), shape), "pack-ids")
     sums = materialize(ids.groupBy("queue", "part").agg(F.sum("n").alias("n")), "pack-sums")
-    totals = sorted((r.queue, r.n) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # MOST_QUEUES rows at most
+    totals = sorted((r.queue, r.n) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect())
     rank = {q: i for i, (q, _) in enumerate(totals)}
     share = None if weights is None else [float(weights.get(q[1:] if q[0] == "s" else None, 1.0)) for q, _ in totals]
+    tokens = window or length * max(WINDOW, len(totals))
     # where each part's tokens begin in its queue: a running sum over parts, of which each queue has as many as the input
-    before = sums.withColumn("before", F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).select("queue", "part", "before")
-    ranks = docs.sparkSession.createDataFrame(list(rank.items()) or [("null", 0)], "queue string, rank int")
-    bases = before.join(ranks, "queue")
+    before = F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")
+    ranks = spark.createDataFrame(list(rank.items()) or [("null", 0)], "queue string, rank int")
+    bases = sums.withColumn("before", before).select("queue", "part", "before").join(ranks, "queue")
     # one row per queue and part of the input: sent to all tasks while small, so that ids stay where they are, else joined
     bases = F.broadcast(bases) if sums.count() <= MOST_BASES else bases
     placed = ids.join(bases, ["queue", "part"]).select("doc_id", "rank", (F.col("at") + F.col("before")).alias("at"), "n", "ids")
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return placed.mapInArrow(_pieces([n for _, n in totals], length, window, share), shape)
+    return placed.mapInArrow(_pieces([n for _, n in totals], length, tokens, share), shape)
 
 
 def op8_mixture_packing(spark, sf_dir: str) -> DataFrame:

@@ -442,6 +442,38 @@ def test_packing(documents, odd, empty, tokenizer):
     assert packing.pack(empty, tokenizer).count() == 0
 
 
+def test_packing_of_many_sources(spark, tokenizer):
+    """5,000 sources with weights of their own: every token once, and each window within a token of every source's share."""
+    rows = [(2 * i + j, "word " * (3 + i % 5), "en", f"s{i}") for i in range(5000) for j in range(2)]
+    df = docs_of(spark, rows)
+    weights = {f"s{i}": 1.0 + i % 3 for i in range(5000)}
+    got = packing.pack(df, tokenizer, weights=weights, window=65_536).collect()
+    packed_well(df, got, tokenizer)
+    source = {i: s for i, _, _, s in rows}
+    totals, first = {}, {}
+    for p in got:
+        totals[source[p.doc_id]] = totals.get(source[p.doc_id], 0) + p.length
+    names = sorted(totals)
+    r = packing.Rounds([totals[s] for s in names], 65_536, [weights[s] for s in names])
+    want = r.served(1)[0]
+    for p in got:
+        if p.sequence_id * 2048 + p.offset < want.sum():  # the first window: fractions of tokens are carried to the next
+            first[source[p.doc_id]] = first.get(source[p.doc_id], 0) + p.length
+    assert [first.get(s, 0) for s in names] == pytest.approx(want.tolist(), abs=1)
+    assert want.sum() > 65_536 - 5000
+    shares = {s: first.get(s, 0) / weights[s] for s in names if first.get(s, 0) < totals[s]}
+    assert max(shares.values()) - min(shares.values()) <= 1
+
+
+def test_long_texts_are_cut_without_a_trace(tokenizer, monkeypatch):
+    t, rng = packing.WordTokenizer(tokenizer), random.Random(2)
+    parts = ["a", " ", "  ", "\n", " \n", "it's", "1", "!", "é", "中", "x" * 9, " \t "]
+    texts = ["".join(rng.choices(parts, k=400)) for _ in range(60)] + ["".join(rng.choices(parts[:8], k=400)) for _ in range(60)] + ["y" * 900]
+    want = [t.whole(x).tolist() for x in texts]
+    monkeypatch.setattr(packing, "PIECE", 50)
+    assert [x.tolist() for x in t.encode(texts)] == want
+
+
 def test_rounds_keep_proportions():
     for weights in (None, [1.0, 5.0, 2.0]):
         r = packing.Rounds([10_000, 3_000, 500], 1000, weights)
