@@ -333,6 +333,9 @@ def test_json_layouts(spark):
         ("<article><script>var a='</p>';</script><style>p{}</style><p>q<!-- no -->r</p>", "qr"),
         ("<body class='has-sidebar'><aside>s</aside><article><header><h1>h</h1>by</header><p>p</p><div role=navigation>n</div></article>", "h\n\np"),
         ("<article><p>cut &am", "cut &am"),
+        ("<article><p title=it's>Hello there</p><p>It isn't lost</p></article>", "Hello there\n\nIt isn't lost"),
+        ("<article><p ' x>a</p><p class=\"a>b\">b</p><p data-x='>'>c</p><p \">d</p></article>", "a\n\nb\n\nc\n\nd"),
+        ("<article><p title=\"never closed>a</p><p>b</p></article>", "a\n\nb"),
         ("<article><ul><li>1<li>2</ul><p hidden>h</p><p>\n a \t b\n</p></article>", "1\n\n2\n\na b"),
         ("", ""),
     ],
