@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import block_pairs, connected_components, global_rank, materialize, pairs_within, whole_groups
 
+#: Tables at one or two rotations a bucket; each rotation more doubles them, so that recall does not fall as tables grow.
 TABLES = 16
+#: Rotations in a bucket: so many that a random vector meets about one of this many others.
+SPREAD = 128
 #: Sign bits of a sketch. Vectors at cosine 0.9 differ in 73.5 of them on average, with deviation 7.9.
 SKETCH_BITS, SKETCH_CUT = 512, 113
 BLOCK = 2048
@@ -138,7 +141,13 @@ def _links(threshold: float):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, tables: int = TABLES) -> DataFrame:
+def table_shape(classes: int) -> tuple[int, int]:
+    """Rotations in a bucket and tables for so many distinct vectors."""
+    k = max(1, round(math.log(max(classes, 2)) / math.log(SPREAD)))
+    return k, TABLES << max(0, k - 2)
+
+
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding); other columns are ignored.
 
     Equal vectors form a class and are compared once. Cross-polytope buckets with probes propose pairs, sign sketches thin
@@ -151,8 +160,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, tables: i
     ok = _valid() & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull()
     classes = rows.where(ok).groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes.withColumn("dim", F.size("embedding")), "vec-classes")
-    total = classes.count()
-    k = max(1, round(math.log(max(total, 2)) / math.log(128)))
+    k, tables = table_shape(classes.count())
 
     def hashed(batches):
         for pdf in batches:
@@ -188,8 +196,10 @@ def op4_near_duplicate_vectors(spark, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 512
 BUCKET = 4096
+#: Query blocks that one task holds beside a bucket; most tasks of the search.
+TOGETHER, MOST_TASKS = 8, 4096
 PACKED = "dim int, block long, n int, low double, high double, uids binary, ids binary, matrix binary"
 
 
@@ -206,9 +216,14 @@ def _unpack(uids: bytes, ids: bytes, matrix: bytes, dim: int):
 
 
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in floating point where every sum is below 2**53, else in 64-bit integers."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(1, q.shape[1])
-    return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64) if top < 2**53 else q @ v.T
+    """Exact integer inner products: in floating point where every sum is below 2**53, else in 64-bit integers, else in
+    Python's, held to the range of 64 bits at the end."""
+    top = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(v.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
+    if top < 2**53:
+        return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64)
+    if top < 2**62:
+        return q @ v.T
+    return np.clip(q.astype(object) @ v.T.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -275,7 +290,8 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     Candidates are ordered by length and cut into buckets; each block of queries first meets the longest bucket, which
     gives it thresholds, and then the buckets that the thresholds leave. Vectors that are null or hold null or non-finite
     components, and rows with a null vec_id, take no part; vectors meet only those with as many components; rows that repeat
-    a vec_id are candidates of their own; an empty table gives an empty result; other columns are ignored.
+    a vec_id are candidates of their own; components beyond 64 bits and scores beyond them are held to that range; an empty
+    table gives an empty result; other columns are ignored.
     """
     v = F.transform("embedding", lambda x: F.floor(F.lit(1024.0) * x.cast("double")).cast("long"))
     rows = vectors.where(_valid() & F.col("vec_id").isNotNull()).select("vec_id", v.alias("v"), is_query.alias("q"))
@@ -303,20 +319,34 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
 
     met = q.join(first, q.q_dim == first.dim).select("q_block", "q_uids", "q_ids", "q_matrix", "dim", "uids", "ids", "matrix")
     theta = materialize(met.mapInPandas(thresholds, "q_dim int, q_block long, theta binary, reach double"), "topk-theta")
-    # blocks of the stated queries against buckets of all rows: ids and bounds only, then each side by its id
-    plan = theta.select("q_dim", "q_block", "reach").join(buckets.select("dim", "block", "high"), (F.col("q_dim") == F.col("dim")) & (F.col("high") + 1e-6 >= F.col("reach"))).select("dim", "q_block", "block")
-
-    def search(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                block, bucket = _unpack(r.q_uids, r.q_ids, r.q_matrix, r.dim), _unpack(r.uids, r.ids, r.matrix, r.dim)
+    # blocks of the stated queries against buckets of all rows: ids and bounds only, then each side by its id. A bucket's
+    # matrix moves once for every TOGETHER query blocks; the number of tasks follows the work, as its bytes tell little
+    bounds = buckets.select("dim", "block", "high")
+    met = (F.col("q_dim") == F.col("dim")) & (F.col("high") + 1e-6 >= F.col("reach"))
+    chunk = F.floor(F.col("q_block") / TOGETHER).alias("chunk")
+    plan = materialize(theta.select("q_dim", "q_block", "reach").join(bounds, met).select("dim", "block", "q_block", chunk), "topk-plan")
+    by = ["dim", "block", "chunk"]
+    groups = plan.select(*by).distinct()
+    tasks = max(1, min(groups.count(), MOST_TASKS))
+
+    def search(bucket_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for b in bucket_rows.itertuples():
+            bucket = _unpack(b.uids, b.ids, b.matrix, b.dim)
+            for r in query_rows.itertuples():
+                block = _unpack(r.q_uids, r.q_ids, r.q_matrix, b.dim)
                 for i, at, s in bucket_top_k(block, bucket, np.frombuffer(r.theta, np.float64), k):
                     if len(at):
-                        yield pd.DataFrame({"own": block[0][i], "query_id": block[1][i], "uid": bucket[0][at], "vec_id": bucket[1][at], "score": s})
-
-    asked = q.join(theta.select("q_dim", "q_block", "theta"), ["q_dim", "q_block"])
-    work = plan.repartition("block", "q_block").join(buckets, ["dim", "block"]).join(asked.withColumnRenamed("q_dim", "dim"), ["dim", "q_block"]).select("dim", "q_uids", "q_ids", "q_matrix", "theta", "uids", "ids", "matrix")
-    found = work.mapInPandas(search, "own long, query_id long, uid long, vec_id long, score long")
+                        out.append(pd.DataFrame({"own": block[0][i], "query_id": block[1][i], "uid": bucket[0][at], "vec_id": bucket[1][at], "score": s}))
+        cols = ["own", "query_id", "uid", "vec_id", "score"]
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in cols})
+
+    asked = q.join(theta.select("q_dim", "q_block", "theta"), ["q_dim", "q_block"]).withColumnRenamed("q_dim", "dim")
+    left = groups.join(buckets.select("dim", "block", "uids", "ids", "matrix"), ["dim", "block"]).repartition(tasks, *by)
+    own = [F.col(c).alias(f"its_{c}") for c in by]
+    right = plan.join(asked, ["dim", "q_block"]).select(*own, "q_uids", "q_ids", "q_matrix", "theta").repartition(tasks, *[f"its_{c}" for c in by])
+    shape = "own long, query_id long, uid long, vec_id long, score long"
+    found = left.groupBy(*by).cogroup(right.groupBy(*[f"its_{c}" for c in by])).applyInPandas(search, shape)
     order = W.partitionBy("own").orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -281,6 +281,30 @@ def test_top_k_is_exact(spark):
     assert vectors.exact_top_k(df.limit(0), F.col("vec_id") % 25 == 0).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    vs = [(100, [1e300, 1.0]), (1, [2e300, 1.0]), (2, [1e300, 5.0]), (3, [-1e300, 2.0]), (4, [1.0, 1.0])]
+    got = vectors.exact_top_k(spark.createDataFrame(vs, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (2, 2**63 - 1), (4, 2**63 - 1), (3, -(2**63))]
+
+
+@pytest.mark.parametrize("dim", [64, 384])
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_recall_at_the_threshold(dim, k):
+    """Isolated pairs at cosine 0.9 share a bucket, or one's bucket is the other's probe, whatever the number of rotations."""
+    rng = np.random.default_rng(dim + k)
+    x = rng.normal(size=(300, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(1)[:, None] * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1)[:, None]
+    tables = next(t for c in range(40) for kk, t in [vectors.table_shape(2**c)] if kk == k)
+    a, pa_ = vectors.cross_polytope(x, tables, k)
+    b, pb = vectors.cross_polytope(y, tables, k)
+    pa_, pb = pa_.reshape(len(x), tables, k), pb.reshape(len(x), tables, k)
+    met = (a == b) | (pa_ == b[:, :, None]).any(2) | (pb == a[:, :, None]).any(2)
+    assert met.any(1).mean() >= 0.9
+
+
 # ---- chat
 
 
