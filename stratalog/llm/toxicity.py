@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, release
 from .textops import LETTER, doc_of, slices, small_batches, word_bounds, word_hashes
 
 #: Labelled documents that the model is fitted on, at most about so many.
@@ -47,16 +48,15 @@ def _sample_rows(batches):
 
 
 class _Batch:
-    """Some documents' places of terms, one after the other, and the same sorted by term, so that sums need no scatter."""
+    """Some documents' places of terms, one after the other, and their order by term, so that sums need no scatter."""
 
     def __init__(self, y: np.ndarray, at: list[np.ndarray]):
-        n = np.array([len(x) for x in at])
-        self.y, self.n = y, n
-        self.full = np.flatnonzero(n)
-        self.starts = (np.cumsum(n) - n)[self.full]
-        self.at = np.concatenate(at) if len(at) else np.zeros(0, np.int32)
-        self.doc = np.repeat(np.arange(len(at), dtype=np.int32), n)
-        self.order = np.argsort(self.at, kind="stable").astype(np.int32)
+        self.y, self.n = y, np.array([len(x) for x in at])
+        self.full = np.flatnonzero(self.n)
+        self.starts = (np.cumsum(self.n) - self.n)[self.full]
+        self.at = np.concatenate(at)
+        self.doc = np.repeat(np.arange(len(at)), self.n)
+        self.order = np.argsort(self.at, kind="stable")
         by = self.at[self.order]
         self.cut = np.flatnonzero(np.r_[True, by[1:] != by[:-1]]) if len(by) else np.zeros(0, np.int64)
         self.terms = by[self.cut]
@@ -71,35 +71,34 @@ class _Batch:
         return np.add.reduceat(x[self.order], self.cut, axis=0) if len(self.cut) else x[:0]
 
 
-def train(sample: list[tuple[int, np.ndarray]], factors: int = 4, least_steps: int = 600, epochs: int = 4, batch: int = 128, seed: int = 4) -> dict:
+def train(sample, factors: int = 4, least_steps: int = 600, epochs: int = 4, batch: int = 128, seed: int = 4) -> dict:
     """Fit bias, weights w and factors v of a factorization machine on the terms that a document has: score = sigmoid(bias +
     sum of w_i + sum of v_i.v_j over pairs * PAIRS / n), n being the number of its terms, so that long documents do not drown
     in pairs. Proximal Adagrad: a weight shrinks towards zero and stays there unless it keeps telling something; factors
     decay. The factors begin to learn after a third of the steps, on what the weights alone leave unexplained.
-    sample: label and buckets of each document."""
+    sample: label and distinct buckets of each document, which are let go as they are taken."""
+    sample = list(sample)
     y = np.array([x[0] for x in sample], np.float32)
     n, pos = len(sample), float(y.sum())
-    every = np.concatenate([x[1] for x in sample]) if sample else np.zeros(0, np.int32)
-    terms, df = np.unique(every, return_counts=True)
-    terms = terms[df >= DF_LEAST]
-    del every
+    df = np.zeros(1 << BITS, np.uint16)
+    for _, t in sample:  # a document's buckets are distinct
+        df[t] = np.minimum(df[t], DF_LEAST - 1) + 1
+    terms = np.flatnonzero(df >= DF_LEAST).astype(np.int32)
+    for i in range(n):  # places take the room of buckets
+        t = sample[i][1]
+        sample[i] = np.searchsorted(terms, t[df[t] >= DF_LEAST]).astype(np.int32)
+    del df
     rng = np.random.default_rng(seed)
     b = np.float32(np.log((pos + 0.5) / (n - pos + 0.5)))
     w, v = np.zeros(len(terms), np.float32), rng.normal(0, 0.1, (len(terms), factors)).astype(np.float32)
     gw, gv, gb = np.full(len(terms), 1e-3, np.float32), np.full(v.shape, 1e-4, np.float32), 1e-2
-    places = []
-    for _, t in sample:
-        at = np.searchsorted(terms, t)
-        has = (at < len(terms)) & (terms[np.minimum(at, max(len(terms) - 1, 0))] == t) if len(terms) else np.zeros(len(t), bool)
-        places.append(at[has].astype(np.int32))
-    order = rng.permutation(n)
-    batches = [_Batch(y[r], [places[i] for i in r]) for r in np.array_split(order, max(1, n // batch))] if len(terms) and 0 < pos < n else []
-    del places
+    batches = np.array_split(rng.permutation(n), max(1, n // batch)) if len(terms) and 0 < pos < n else []
     steps = max(least_steps, epochs * len(batches)) if batches else 0
     for k in range(steps):
         if k % len(batches) == 0:
             turn = rng.permutation(len(batches))
-        x = batches[turn[k % len(batches)]]
+        own = batches[turn[k % len(batches)]]
+        x = _Batch(y[own], [sample[i] for i in own])
         rate, pairs = 1 - k / steps, k >= steps // 3
         z = b + x.by_doc(w[x.at])
         if pairs:
@@ -130,8 +129,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, **how) -> dict:
     total = rows.count()
     chance = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) / (1 << 20)
     chosen = rows.where(chance < min(1.0, sample / max(total, 1)))
-    got = chosen.select("text", "toxic").mapInArrow(_sample_rows, "toxic int, terms binary").collect()
-    return train(sorted(((r.toxic, np.frombuffer(r.terms, np.int32)) for r in got), key=lambda x: (x[0], x[1].tobytes())), **how)
+    rows = materialize(chosen.select("text", "toxic").mapInArrow(_sample_rows, "toxic int, terms binary"), "toxic-sample")
+    # a part at a time, so that the driver's JVM never holds the sample
+    got = sorted((r.toxic, bytes(r.terms)) for r in rows.toLocalIterator())
+    release(rows)
+    got.reverse()
+    return train(((label, np.frombuffer(raw, np.int32)) for label, raw in iter(lambda: got.pop() if got else None, None)), **how)
 
 
 def _scorer(model: dict, keep: list[str]):
