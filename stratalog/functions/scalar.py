@@ -24,6 +24,21 @@ def fnv64(id_sql: str) -> Column:
     return F.expr(f"aggregate(sequence(0, 7), {FNV_BASIS}L, (h, i) -> {step})")
 
 
+def fnv64_of(n: Column) -> Column:
+    """fnv64() of a column that has no name, as a lambda's variable."""
+    low = F.lit(4294967295).cast("long")
+    shift = lambda c, k: F.call_function("shiftrightunsigned", c, k)
+
+    def multiply(x: Column) -> Column:
+        high = lambda t: (shift(x, F.lit(32)) * FNV_PRIME_LOW + shift(t, F.lit(32)) + F.shiftleft(x.bitwiseAND(F.lit(16777215).cast("long")), 8)).bitwiseAND(low)
+        product = lambda t: F.shiftleft(high(t), 32).bitwiseOR(t.bitwiseAND(low))
+        return F.aggregate(F.array(x.bitwiseAND(low) * FNV_PRIME_LOW), F.lit(0).cast("long"), lambda _, t: product(t))
+
+    octet = lambda i: shift(n, i * 8).bitwiseAND(F.lit(255).cast("long"))
+    step = lambda h, i: F.aggregate(F.array(h.bitwiseXOR(octet(i))), F.lit(0).cast("long"), lambda _, x: multiply(x))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(FNV_BASIS).cast("long"), step)
+
+
 def unsigned(c: Column) -> Column:
     """A signed 64-bit value read as unsigned."""
     d = c.cast("decimal(20,0)")
@@ -57,6 +72,15 @@ def from_fixed64(b: Column) -> Column:
     return F.conv(swapped, 16, -10).cast("long")
 
 
+def varint(n: str) -> Column:
+    """A 64-bit number (a column's name) as a variable-length integer: seven bits a byte, low first, the top bit set on all
+    but the last; a negative number is read as unsigned. Null stays null."""
+    low = "shiftrightunsigned({0}, 7 * i) & 127".format(n)
+    length = f"if({n} < 0, 10, greatest(1, ceil(length(regexp_replace(bin({n}), '^0+(?=.)', '')) / 7)))"
+    octet = f"lpad(hex(({low}) + if(i + 1 < {length}, 128, 0)), 2, '0')"
+    return F.expr(f"if({n} is null, null, unhex(array_join(transform(sequence(0, cast({length} as int) - 1), i -> {octet}), '')))")
+
+
 def varint_length(n: Column) -> Column:
     return F.when(n < 0, 10).otherwise(F.greatest(F.lit(1), F.ceil(F.length(F.regexp_replace(F.bin(n), "^0+(?=.)", "")) / 7))).cast("int")
 
@@ -218,15 +242,53 @@ def lehmer(seed: int, n: int) -> list[int]:
     return out
 
 
+def _by_length(values: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, bytes as a matrix) of the values of each length; nulls are left out."""
+    n = np.array([-1 if v is None else len(v) for v in values], np.int64)
+    return [(at := np.flatnonzero(n == k), np.frombuffer(b"".join(bytes(values[i]) for i in at), np.uint8).reshape(len(at), int(k))) for k in np.unique(n[n >= 0])]
+
+
+def hash32_many(values: list, seed) -> np.ndarray:
+    """hash32_bytes() of each value (-1 for null), all values of a length at once. seed: one, or one a value."""
+    out, seeds = np.full(len(values), -1, np.int64), np.broadcast_to(np.asarray(seed, np.int64), (len(values),))
+    for at, data in _by_length(values):
+        m, n = np.uint32(HASH_M), data.shape[1]
+        h = seeds[at].astype(np.uint32) ^ (np.full(len(at), n, np.uint32) * m)
+        for i in range(0, n // 4 * 4, 4):
+            h = (h + np.ascontiguousarray(data[:, i : i + 4]).view("<u4")[:, 0]) * m
+            h ^= h >> np.uint32(16)
+        if n % 4:
+            tail = np.zeros((len(at), 4), np.uint8)
+            tail[:, : n % 4] = data[:, n // 4 * 4 :]
+            h = (h + tail.view("<u4")[:, 0]) * m
+            h ^= h >> np.uint32(HASH_R)
+        out[at] = h
+    return out
+
+
+def crc32c_many(values: list) -> np.ndarray:
+    """crc32c_bytes() of each value (-1 for null), all values of a length at once."""
+    out, table = np.full(len(values), -1, np.int64), _crc_table()
+    for at, data in _by_length(values):
+        c = np.full(len(at), 0xFFFFFFFF, np.uint32)
+        for i in range(data.shape[1]):
+            c = table[(c ^ data[:, i]) & np.uint32(0xFF)] ^ (c >> np.uint32(8))
+        out[at] = c ^ np.uint32(0xFFFFFFFF)
+    return out
+
+
+def _told(x: np.ndarray) -> pd.Series:
+    return pd.Series(x).astype("Int64").mask(x < 0)
+
+
 def _each(f, kind: T.DataType):
     return F.pandas_udf(lambda s: pd.Series([None if x is None else f(bytes(x)) for x in s]), kind)
 
 
-hash32 = F.pandas_udf(lambda s, seed: pd.Series([None if x is None else hash32_bytes(bytes(x), int(k)) for x, k in zip(s, seed, strict=True)]), T.LongType())
-crc32c = _each(crc32c_bytes, T.LongType())
+hash32 = F.pandas_udf(lambda s, seed: _told(hash32_many(list(s), seed.fillna(0).to_numpy(np.int64))), T.LongType())
+crc32c = F.pandas_udf(lambda s: _told(crc32c_many(list(s))), T.LongType())
 escape = _each(escape_bytes, T.StringType())
 successor = _each(short_successor, T.BinaryType())
-separator = F.pandas_udf(lambda a, b: pd.Series([short_separator(bytes(x), bytes(y)) for x, y in zip(a, b, strict=True)]), T.BinaryType())
-varint = F.pandas_udf(lambda s: pd.Series([varint_bytes(int(x)) for x in s]), T.BinaryType())
+separator = F.pandas_udf(lambda a, b: pd.Series([None if x is None or y is None else short_separator(bytes(x), bytes(y)) for x, y in zip(a, b, strict=True)]), T.BinaryType())
 serialize_row = F.pandas_udf(lambda s: pd.Series([encode_row({k: bytes(v) for k, v in (x.items() if isinstance(x, dict) else x)}) for x in s]), T.BinaryType())
 deserialize_row = F.pandas_udf(lambda s: pd.Series([decode_row(bytes(x)) for x in s]), T.MapType(T.StringType(), T.BinaryType()))

@@ -99,6 +99,13 @@ def read_cache(reads: DataFrame, hot: int = 1) -> DataFrame:
     return reads.withColumn("nth", so_far).withColumn("served", F.col("nth") > hot + 1)
 
 
+def reads_served(reads: DataFrame, hot: int = 1) -> DataFrame:
+    """(file_no, user_key, reads, served): how many of a key's reads the hot buffer of its file serves: all after the one that
+    made it hot. Counts are combined before the shuffle, so a very hot key sends one row a task."""
+    n = reads.groupBy("file_no", "user_key").agg(F.count(F.lit(1)).alias("reads"))
+    return n.withColumn("served", F.greatest(F.col("reads") - hot - 1, F.lit(0)))
+
+
 def promote(inputs: DataFrame, hot: DataFrame) -> DataFrame:
     """A level's rewrite with hot rows from below: union, one row per (user_key, seq), key and value kept together."""
     return inputs.unionByName(hot).dropDuplicates(["user_key", "seq"])

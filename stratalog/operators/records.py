@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Workload mixes (read, update, insert, scan, read-modify-write) and the skew of the key chooser.
@@ -28,6 +29,16 @@ def rows_to_columns(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy("field").pivot("key", keys).agg(F.first("value"))
 
 
+def field_columns(rows: DataFrame, records: int = 4096) -> DataFrame:
+    """Column-major over all keys: (field, part, first_key, values) with each field's values in key order, in parts of about
+    `records` keys by range, so that no row grows with the table. part is in key order too; a missing value is left out."""
+    placed = rows.repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    placed = placed.withColumn("part", F.struct(F.col("part"), F.floor(F.dense_rank().over(W.partitionBy("part").orderBy("key")) / records).alias("at")))
+    pairs = F.array_sort(F.collect_list(F.struct("key", "value")))
+    gathered = placed.where("value is not null").groupBy("field", "part").agg(F.min("key").alias("first_key"), pairs.alias("_p"))
+    return gathered.select("field", "part", "first_key", F.transform("_p", lambda p: p["value"]).alias("values"))
+
+
 def project(rows: DataFrame, fields: list[str]) -> DataFrame:
     return rows.where(F.col("field").isin(fields))
 
@@ -66,11 +77,11 @@ def zipf_rank(u: Column, n: int, zeta_n: float | None = None, theta: float = THE
 
 
 def scrambled(u: Column, n: int) -> Column:
-    """Zipf ranks spread over [0, n) by a hash, read as unsigned. u must be a column named `u`."""
-    from ..functions.scalar import fnv64, unsigned
+    """Zipf ranks spread over [0, n) by a hash, read as unsigned."""
+    from ..functions.scalar import fnv64_of, unsigned
 
     rank = zipf_rank(u, SCRAMBLED_ITEMS, SCRAMBLED_ZETA)
-    return F.transform(F.array(rank), lambda r: F.pmod(unsigned(fnv64("r")), F.lit(n).cast("decimal(20,0)")) if r is None else r)[0]
+    return F.transform(F.array(rank), lambda r: F.pmod(unsigned(fnv64_of(r)), F.lit(n).cast("decimal(20,0)")))[0]
 
 
 def skewed_latest(u: Column, last: int) -> Column:

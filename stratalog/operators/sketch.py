@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import BLOOM_SEED, hash32_bytes
+from ..functions.scalar import BLOOM_SEED, hash32_many
 
 # Shape of the frequency sketch.
 SKETCH_ROWS, SKETCH_WIDTH, HOT_COUNT = 2, 500, 1
@@ -25,7 +25,7 @@ def _positions(h: np.ndarray, k: int, bits: np.ndarray | int) -> np.ndarray:
 
 
 def _key_hashes(keys) -> np.ndarray:
-    return np.array([hash32_bytes(bytes(k), BLOOM_SEED) for k in keys], np.int64)
+    return hash32_many(list(keys), BLOOM_SEED)
 
 
 def build_filters(keys: DataFrame, group: str, bits_per_key: int = 10) -> DataFrame:
@@ -54,14 +54,27 @@ def build_filters(keys: DataFrame, group: str, bits_per_key: int = 10) -> DataFr
 
 def may_match(key: bytes, data: bytes) -> bool:
     """Whether a filter may hold the key; unknown probe numbers match always."""
+    return _in_filter(_key_hashes([key]), data)
+
+
+def _in_filter(h: np.ndarray, data: bytes) -> bool:
     if len(data) < 2:
         return False
     if data[-1] > 30:
         return True
-    return all(data[p // 8] >> (p % 8) & 1 for p in _positions(_key_hashes([key]), data[-1], (len(data) - 1) * 8)[0])
+    return all(data[p // 8] >> (p % 8) & 1 for p in _positions(h, data[-1], (len(data) - 1) * 8)[0])
+
+
+def _matches(keys: pd.Series, filters: pd.Series) -> pd.Series:
+    h = _key_hashes(keys)
+    out: list = [None] * len(h)
+    for i, f in enumerate(filters):
+        if h[i] >= 0 and f is not None:
+            out[i] = _in_filter(h[i : i + 1], bytes(f))
+    return pd.Series(out, dtype="boolean")
 
 
-matches = F.pandas_udf(lambda ks, fs: pd.Series([may_match(bytes(k), bytes(f)) for k, f in zip(ks, fs, strict=True)]), T.BooleanType())
+matches = F.pandas_udf(_matches, T.BooleanType())
 
 
 def sketch_counts(keys: DataFrame, hashed: str = "h") -> DataFrame:

@@ -57,6 +57,14 @@ def latency(ops: DataFrame) -> DataFrame:
     return ops.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("min_us"), F.max(us).alias("max_us"), F.avg(us).alias("avg_us"))
 
 
+def entry_bytes(rows: DataFrame) -> DataFrame:
+    """(bytes) that the entries of rows (user_key, value) take in a memory table: the key with its eight-byte tag and the
+    value, each after its length as a variable-length integer. A deletion marker has an empty value."""
+    key, value = F.octet_length("user_key") + 8, F.coalesce(F.octet_length("value"), F.lit(0))
+    size = lambda n: F.when(n < 128, 1).when(n < 1 << 14, 2).when(n < 1 << 21, 3).when(n < 1 << 28, 4).otherwise(5)
+    return rows.agg(F.coalesce(F.sum(size(key) + key + size(value) + value), F.lit(0)).cast("long").alias("bytes"))
+
+
 def hits_by_level(state: DataFrame, keys: DataFrame) -> DataFrame:
     """Which level answered each looked-up key."""
     return keys.join(state.select("user_key", "level"), "user_key").groupBy("level").agg(F.count(F.lit(1)).alias("hits"))

@@ -127,9 +127,9 @@ def multi_snapshot_asof(spark, d):
     return M.at_snapshots(L.event_log(spark, d), snaps)
 
 
-@query(f"WITH {_TOP} SELECT c_custkey AS user_key, value FROM customer LEFT JOIN live ON c_custkey = user_key WHERE c_custkey % 3 = 0")
+@query(f"WITH {_TOP} SELECT c_custkey AS user_key, value FROM customer LEFT JOIN live ON c_custkey = user_key")
 def multi_get(spark, d):
-    keys = L.table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_key"))
+    keys = L.table(spark, d, "customer").select(F.col("c_custkey").alias("user_key"))
     return M.lookup(keys, L.event_log(spark, d)).select("user_key", "value")
 
 
@@ -227,10 +227,11 @@ def rowmajor_pivot(spark, d):
     return R.rows_to_records(_usertable(spark, d), ["field0", "field1", "field2"])
 
 
-@query("WITH t AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer WHERE c_custkey IN (1, 2, 3)) SELECT f AS field, max(CASE WHEN c_custkey = 1 THEN v END) AS \"00000001\", max(CASE WHEN c_custkey = 2 THEN v END) AS \"00000002\", max(CASE WHEN c_custkey = 3 THEN v END) AS \"00000003\" FROM (SELECT c_custkey, unnest(['field0', 'field1', 'field2']) AS f, unnest([c_name, c_mktsegment, c_nationkey::VARCHAR]) AS v FROM t) GROUP BY f")
+@query(f"WITH {_USER} SELECT field, count(value) AS n, min(key) AS first_key, sha256(string_agg(value, '|' ORDER BY key)) AS digest FROM usertable GROUP BY field")
 def columnmajor_pivot(spark, d):
-    keys = ["00000001", "00000002", "00000003"]
-    return R.rows_to_columns(_usertable(spark, d).where(F.col("key").isin(keys)), keys)
+    columns = R.field_columns(_usertable(spark, d))
+    digest = F.sha2(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "values"))), lambda c: c["values"])), "|"), 256)
+    return columns.groupBy("field").agg(F.sum(F.size("values")).alias("n"), F.min("first_key").alias("first_key"), digest.alias("digest"))
 
 
 @query(f"WITH {_USER} SELECT key, field, value FROM usertable WHERE key IN (SELECT DISTINCT key FROM usertable WHERE key >= '00000010' ORDER BY key LIMIT 25)")
@@ -345,9 +346,16 @@ def obsolete_files(spark, d):
     return FS.without(L.table(spark, d, "customer").select(F.col("c_custkey").alias("file_no")), FS.fold_edits(_edits(spark, d)))
 
 
-@query(f"WITH {_FILES} SELECT level, file_no, file_size FROM files WHERE level = 0 AND largest_key >= 0 AND smallest_key <= 1000000000")
+_CHAINS = """chained AS (SELECT 0 AS level, p_partkey AS file_no, p_size * 100 AS file_size, p_partkey * 40 AS smallest_key, p_partkey * 40 + p_size AS largest_key FROM part),
+  marked AS (SELECT *, CASE WHEN smallest_key > max(largest_key) OVER (ORDER BY smallest_key, file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS starts FROM chained),
+  islands AS (SELECT *, sum(starts) OVER (ORDER BY smallest_key, file_no) AS island FROM marked)"""
+
+
+@query(f"WITH {_CHAINS} SELECT level, file_no, file_size FROM islands WHERE island IN (SELECT island FROM islands WHERE largest_key >= 2000 AND smallest_key <= 2100)")
 def l0_expanded_range(spark, d):
-    return FS.expand_overlapping(_files(spark, d), 0, 3).select("level", "file_no", "file_size")
+    k = F.col("p_partkey") * 40
+    files = L.table(spark, d, "part").select(F.lit(0).alias("level"), F.col("p_partkey").alias("file_no"), (F.col("p_size") * 100).alias("file_size"), k.alias("smallest_key"), (k + F.col("p_size")).alias("largest_key"))
+    return FS.expand_overlapping(files, 2000, 2100).select("level", "file_no", "file_size")
 
 
 @query(f"WITH {_EV} SELECT 0 AS level, seq // 100 AS file_no, count(*) * 24 AS file_size, min(user_key) AS smallest_key, max(user_key) AS largest_key FROM ev GROUP BY seq // 100")
@@ -366,7 +374,7 @@ def compaction_keep(spark, d):
     return C.drop_shadowed(_log(spark, d), 600)
 
 
-@query(f"WITH {_KEEP}, deep AS (SELECT file_no, min(user_key) AS lo, max(user_key) AS hi FROM log WHERE level = 2 AND file_no % 10 = 0 GROUP BY file_no) SELECT user_key, seq, vtype FROM kept WHERE NOT (vtype = 0 AND seq <= 600 AND NOT EXISTS (SELECT 1 FROM deep WHERE user_key BETWEEN lo AND hi))")
+@query(f"WITH {_KEEP}, deep AS (SELECT file_no, min(user_key) AS lo, max(user_key) AS hi FROM log WHERE level = 2 GROUP BY file_no) SELECT user_key, seq, vtype FROM kept WHERE NOT (vtype = 0 AND seq <= 600 AND NOT EXISTS (SELECT 1 FROM deep WHERE user_key BETWEEN lo AND hi))")
 def compaction_tombstone_elision(spark, d):
     log = _log(spark, d)
     deeper = L.file_metadata(log.where("level = 2"))
@@ -413,10 +421,9 @@ def hot_keys(spark, d):
     return C.hot_keys(L.table(spark, d, "events").select(F.col("user_id").alias("user_key")), 60)
 
 
-@query("SELECT file_no, user_key, count(*) AS reads, greatest(count(*) - 2, 0) AS served FROM (SELECT user_id % 4 AS file_no, user_id AS user_key FROM events) GROUP BY ALL")
+@query("SELECT file_no, user_key, count(*) AS reads, sum(CASE WHEN nth > 2 THEN 1 ELSE 0 END)::BIGINT AS served FROM (SELECT user_id % 4 AS file_no, user_id AS user_key, row_number() OVER (PARTITION BY user_id % 4, user_id ORDER BY event_id) AS nth FROM events) GROUP BY ALL")
 def hot_read_cache(spark, d):
-    reads = L.table(spark, d, "events").select(F.col("event_id").alias("op_id"), (F.col("user_id") % 4).alias("file_no"), F.col("user_id").alias("user_key"))
-    return C.read_cache(reads).groupBy("file_no", "user_key").agg(F.count(F.lit(1)).alias("reads"), F.sum(F.col("served").cast("int")).alias("served"))
+    return C.reads_served(L.table(spark, d, "events").select((F.col("user_id") % 4).alias("file_no"), F.col("user_id").alias("user_key")))
 
 
 @query(f"WITH {_TOP} SELECT DISTINCT user_key, seq, value FROM log WHERE level = 1 OR (level = 2 AND user_key IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 60))")
@@ -491,9 +498,10 @@ def key_frequency(spark, d):
     return L.table(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg(F.count(F.lit(1)).alias("n")).orderBy("key")
 
 
-@query(f"WITH {_EV} SELECT sum(24)::BIGINT AS bytes FROM ev")
+@query(f"WITH {_EV}, e AS (SELECT length(user_key::VARCHAR) + 8 AS k, CASE WHEN vtype = 1 THEN length(floor(value)::BIGINT::VARCHAR) ELSE 0 END AS v FROM ev) SELECT sum(k + v + CASE WHEN k < 128 THEN 1 ELSE 2 END + CASE WHEN v < 128 THEN 1 ELSE 2 END)::BIGINT AS bytes FROM e")
 def memory_usage(spark, d):
-    return L.event_log(spark, d).agg((F.count(F.lit(1)) * L.RECORD_BYTES).alias("bytes"))
+    value = F.when(F.col("vtype") == 1, F.floor("value").cast("string"))
+    return A.entry_bytes(L.event_log(spark, d).select(F.col("user_key").cast("string").alias("user_key"), value.alias("value")))
 
 
 # ---- workloads
@@ -531,9 +539,9 @@ def bench_key_pad(spark, d):
     return L.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), X.bench_key(F.col("o_orderkey")).alias("key"))
 
 
-@query("WITH ids AS (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey % 97 <> 50) SELECT min(id) AS last_ack FROM ids WHERE id + 1 NOT IN (SELECT id FROM ids)")
+@query("WITH ids AS (SELECT DISTINCT o_orderkey AS id FROM orders) SELECT min(id) AS last_ack FROM ids WHERE id + 1 NOT IN (SELECT id FROM ids)")
 def ack_counter_gap(spark, d):
-    ids = L.table(spark, d, "orders").where("o_orderkey % 97 <> 50").select(F.col("o_orderkey").alias("id"))
+    ids = L.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
     return R.acknowledged(ids, ids.agg(F.min("id")).first()[0])
 
 
@@ -550,11 +558,15 @@ def internal_tag(spark, d):
     return L.event_log(spark, d).select("user_key", "seq", X.pack_tag(F.col("seq"), F.col("vtype")).alias("tag"))
 
 
-@query(f"WITH {_EV} SELECT seq, vtype, vtype AS vtype_back, seq AS seq_back FROM ev")
+#: Eight octets of a number in hexadecimal, low first.
+_LE = "array_to_string(list_transform(range(8), lambda i: printf('%02X', ({0} >> (8 * i)) & 255)), '')"
+
+
+@query(f"WITH {_EV} SELECT seq, vtype, hex(user_key::VARCHAR) || {_LE.format('(seq * 256 + vtype)')} AS encoded, vtype AS vtype_back, seq AS seq_back FROM ev")
 def pack_unpack(spark, d):
     key = X.internal_key(F.encode(F.col("user_key").cast("string"), "UTF-8"), F.col("seq"), F.col("vtype"))
     _, seq, vtype = X.split_internal_key(F.col("k"))
-    return L.event_log(spark, d).withColumn("k", key).select("seq", "vtype", vtype.cast("int").alias("vtype_back"), seq.alias("seq_back"))
+    return L.event_log(spark, d).withColumn("k", key).select("seq", "vtype", F.hex("k").alias("encoded"), vtype.cast("int").alias("vtype_back"), seq.alias("seq_back"))
 
 
 @query(f"WITH {_EV} SELECT seq, '''' || user_key || ''' @ ' || seq || ' : ' || vtype AS line FROM ev")
@@ -580,9 +592,10 @@ def varint_lengths(spark, d):
     return L.table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), X.varint_length(F.col("o_orderkey")).alias("varint_length"))
 
 
-@query("SELECT o_orderkey AS n, o_orderkey AS back FROM orders")
+@query(f"SELECT o_orderkey AS n, {_LE.format('o_orderkey')} AS encoded, o_orderkey AS back FROM orders")
 def fixed64_round_trip(spark, d):
-    return L.table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), X.from_fixed64(X.fixed64(F.col("o_orderkey"))).alias("back"))
+    e = X.fixed64(F.col("o_orderkey"))
+    return L.table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), F.hex(e).alias("encoded"), X.from_fixed64(e).alias("back"))
 
 
 @query("SELECT level, 5242880.0 * pow(4, greatest(level - 1, 0)) AS max_bytes FROM range(7) t(level)")
@@ -600,7 +613,27 @@ def sample_sort(spark, d):
     return rows.join(before, "part").select("o_orderkey", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"))
 
 
-@query()
+def _sql_hash32(text: str) -> str:
+    """The 32-bit hash of an ASCII text in DuckDB: words of four octets, low first, then the tail."""
+    octet = lambda i: f"ord({text}[{i}])"
+    words = f"list_transform(range(length({text}) // 4), lambda i: ({octet('4 * i + 1')} + 256 * {octet('4 * i + 2')} + 65536 * {octet('4 * i + 3')} + 16777216 * {octet('4 * i + 4')})::HUGEINT)"
+    m, mask = f"{X.HASH_M}::HUGEINT", "4294967296::HUGEINT"
+    start = f"(xor({X.BLOOM_SEED}, ((length({text})::HUGEINT * {m}) % {mask})::BIGINT))::HUGEINT"
+    turn = f"((h + w) * {m}) % {mask}"
+    body = f"list_reduce(list_prepend({start}, {words}), lambda h, w: xor({turn}, ({turn}) // 65536))"
+    tail = f"list_sum(list_transform(range(length({text}) % 4), lambda i: ({octet(f'4 * (length({text}) // 4) + i + 1')} * pow(256, i))::HUGEINT))"
+    last = f"(({body} + {tail}) * {m}) % {mask}"
+    return f"(CASE WHEN length({text}) % 4 = 0 THEN {body} ELSE (SELECT xor(z, z // 16777216) FROM (SELECT {last} AS z)) END)::BIGINT"
+
+
+_BLOOM = f"""WITH keys AS (SELECT o_custkey % 16 AS part, o_orderkey::VARCHAR AS k FROM orders), sizes AS (SELECT part, ceil(greatest(64, count(*) * 10) / 8)::BIGINT * 8 AS bits FROM keys GROUP BY part),
+  asked AS (SELECT part, k, true AS there FROM keys UNION ALL SELECT part, 'x' || k, false FROM keys), hashed AS (SELECT part, there, row_number() OVER () AS id, {_sql_hash32('k')} AS h FROM asked),
+  places AS (SELECT part, there, id, ((h + ((h >> 17) | ((h << 15) & 4294967295)) * i) % 4294967296) % bits AS place FROM hashed JOIN sizes USING (part), range(6) t(i)),
+  held AS (SELECT DISTINCT part, place FROM places WHERE there)
+  SELECT there, avg((found = 6)::INTEGER) AS match_rate, count(*) AS n FROM (SELECT there, id, count(held.place) AS found FROM places LEFT JOIN held ON held.part = places.part AND held.place = places.place GROUP BY there, id) GROUP BY there"""
+
+
+@query(_BLOOM)
 def bloom_false_positive_rate(spark, d):
     keys = L.table(spark, d, "orders").select((F.col("o_custkey") % 16).alias("part"), F.encode(F.col("o_orderkey").cast("string"), "UTF-8").alias("user_key"))
     probes = keys.withColumn("user_key", F.concat(F.lit(b"x"), "user_key"))
@@ -608,45 +641,64 @@ def bloom_false_positive_rate(spark, d):
     return asked.join(K.build_filters(keys, "part"), "part").groupBy("there").agg(F.avg(K.matches("user_key", "filter").cast("int")).alias("match_rate"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_CMS = f"""WITH u AS (SELECT user_id, count(*) AS exact, any_value((SELECT {_FNV_SQL.replace('id >>', 'user_id >>')})) AS h FROM events GROUP BY user_id),
+  w AS (SELECT *, ((h // 131072) | ((h * 32768) % 18446744073709551616::HUGEINT)) AS s FROM u),
+  v AS (SELECT user_id, exact, h - CASE WHEN h >= 9223372036854775808::HUGEINT THEN 18446744073709551616::HUGEINT ELSE 0 END AS h, s - CASE WHEN s >= 9223372036854775808::HUGEINT THEN 18446744073709551616::HUGEINT ELSE 0 END AS s FROM w),
+  cells AS (SELECT user_id, exact, i, (((h + s * i) % 500) + 500) % 500 AS cell FROM v, range(2) t(i)), counts AS (SELECT i, cell, sum(exact) AS n FROM cells GROUP BY i, cell)
+  SELECT user_id, any_value(({_FNV_SQL.replace('id >>', 'user_id >>')}) - CASE WHEN ({_FNV_SQL.replace('id >>', 'user_id >>')}) >= 9223372036854775808::HUGEINT THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT AS h, any_value(exact) AS exact, min(n)::BIGINT AS estimate, min(n) > 1 AS hot FROM cells JOIN counts USING (i, cell) GROUP BY user_id"""
+
+
+@query(_CMS)
 def cms_estimate(spark, d):
-    keys = L.table(spark, d, "events").select("user_id", F.xxhash64("user_id").alias("h"))
+    keys = L.table(spark, d, "events").select("user_id", X.fnv64("user_id").alias("h"))
     return K.estimates(keys.groupBy("user_id", "h").agg(F.count(F.lit(1)).alias("exact")), K.sketch_counts(keys))
 
 
-@query()
+@query("WITH t AS (SELECT o_orderkey AS n, greatest(1, ceil(length(ltrim(bin(o_orderkey), '0')) / 7.0))::BIGINT AS l FROM orders) SELECT n, array_to_string(list_transform(range(l), lambda i: printf('%02X', ((n >> (7 * i)) & 127) + CASE WHEN i + 1 < l THEN 128 ELSE 0 END)), '') AS encoded FROM t")
 def varint(spark, d):
     return L.table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), F.hex(X.varint("o_orderkey")).alias("encoded"))
 
 
-@query()
+_CRC_STEP = f"list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, {X.CRC_POLYNOMIAL}) ELSE x // 2 END)"
+
+
+@query(f"SELECT c_custkey, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(c_name)), lambda i: ord(c_name[i + 1])::BIGINT)), lambda c, b: {_CRC_STEP}), 4294967295) AS crc FROM customer")
 def crc32c(spark, d):
     return L.table(spark, d, "customer").select("c_custkey", X.crc32c(F.encode("c_name", "UTF-8")).alias("crc"))
 
 
-@query()
+@query(f"SELECT c_custkey, {_sql_hash32('c_name')} AS h FROM customer")
 def hash32(spark, d):
     return L.table(spark, d, "customer").select("c_custkey", X.hash32(F.encode("c_name", "UTF-8"), F.lit(X.BLOOM_SEED)).alias("h"))
 
 
-@query()
+@query("""WITH t AS (SELECT c_custkey, c_name AS a, c_mktsegment AS b, list_filter(range(least(length(c_name), length(c_mktsegment))), lambda i: c_name[i + 1] <> c_mktsegment[i + 1])[1] AS d FROM customer)
+  SELECT c_custkey, chr(ord(a[1]) + 1) AS successor, CASE WHEN d IS NOT NULL AND ord(a[d + 1]) + 1 < ord(b[d + 1]) THEN a[1:d] || chr(ord(a[d + 1]) + 1) ELSE a END AS separator FROM t""")
 def short_keys(spark, d):
     name = F.encode("c_name", "UTF-8")
     return L.table(spark, d, "customer").select("c_custkey", X.escape(X.successor(name)).alias("successor"), X.escape(X.separator(name, F.encode("c_mktsegment", "UTF-8"))).alias("separator"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT o_custkey % 8 AS queue, o_orderkey AS op_idx, floor(o_totalprice)::BIGINT AS size, o_orderstatus = 'P' AS sync, row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey) AS r FROM orders),
+  f AS (SELECT queue, op_idx, size, sync, r, 0 AS commit_group, size AS total, CASE WHEN size <= 131072 THEN size + 131072 ELSE 1048576 END AS most, sync AS leads FROM w WHERE r = 1
+    UNION ALL SELECT queue, op_idx, size, sync, r, commit_group + n::INTEGER, CASE WHEN n THEN size ELSE total + size END, CASE WHEN n THEN CASE WHEN size <= 131072 THEN size + 131072 ELSE 1048576 END ELSE most END, CASE WHEN n THEN sync ELSE leads END
+    FROM (SELECT w.*, f.commit_group, f.total, f.most, f.leads, f.total + w.size > f.most OR (w.sync AND NOT f.leads) AS n FROM f JOIN w ON w.queue = f.queue AND w.r = f.r + 1))
+  SELECT queue, op_idx, size, sync, commit_group::BIGINT AS commit_group FROM f""")
 def group_commit(spark, d):
     writes = L.table(spark, d, "orders").select((F.col("o_custkey") % 8).alias("queue"), F.col("o_orderkey").alias("op_idx"), F.floor("o_totalprice").cast("long").alias("size"), (F.col("o_orderstatus") == "P").alias("sync"))
     return WR.group_commit(writes)
 
 
-@query()
+@query(f"WITH {_LOG} SELECT level, user_key, seq, 24 AS bytes, (row_number() OVER (PARTITION BY level ORDER BY user_key, seq) - 1) // 171 AS output FROM log WHERE level > 0")
 def compaction_outputs(spark, d):
     rows = _log(spark, d).where("level > 0").select("level", "user_key", "seq", F.lit(L.RECORD_BYTES).cast("long").alias("bytes"))
     return C.split_by_size(rows, "level", ["user_key", "seq"], "bytes", 4096)
 
 
-@query()
+_S_ETA = (1 - (2.0 / R.SCRAMBLED_ITEMS) ** (1 - R.THETA)) / (1 - R.zeta(2) / R.SCRAMBLED_ZETA)
+
+
+@query(f"""WITH r AS (SELECT event_id, (CASE WHEN u * {R.SCRAMBLED_ZETA!r} < 1 THEN 0 WHEN u * {R.SCRAMBLED_ZETA!r} < 1 + pow(0.5, 0.99) THEN 1 ELSE floor({R.SCRAMBLED_ITEMS} * pow({_S_ETA!r} * u - {_S_ETA!r} + 1, {1 / (1 - R.THETA)!r})) END)::BIGINT AS id
+  FROM (SELECT event_id, {_U_SQL}::DOUBLE AS u FROM events)) SELECT event_id, ((SELECT {_FNV_SQL}) % 1000)::BIGINT AS item FROM r""")
 def scrambled_zipf(spark, d):
     return L.table(spark, d, "events").select("event_id", _U().alias("u")).select("event_id", R.scrambled(F.col("u"), 1000).cast("long").alias("item"))

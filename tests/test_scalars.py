@@ -81,6 +81,22 @@ def test_fnv_matches_wrapping_integers(spark):
     assert all(int(r.h) == fnv(r.id) for r in rows)
 
 
+def test_many_hashes_and_nulls(spark):
+    """Hashes of all values at once are those of one value each; nulls stay null."""
+    values = [b"", b"a", None, b"ab", b"abc", b"abcd", b"abcde", "é中".encode(), bytes(range(256)), b"a"]
+    df = spark.createDataFrame([(i, v, 7 + i) for i, v in enumerate(values)], "i int, v binary, n long")
+    one = lambda f: [None if v is None else f(v) for v in values]
+    rows = df.select("i", X.hash32("v", F.lit(X.BLOOM_SEED)).alias("h"), X.crc32c("v").alias("c"), X.separator("v", "v").alias("s")).orderBy("i").collect()
+    assert [r.h for r in rows] == one(lambda v: X.hash32_bytes(v, X.BLOOM_SEED))
+    assert [r.c for r in rows] == one(X.crc32c_bytes)
+    assert rows[2].s is None
+    ns = [0, 1, 127, 128, 300, 1 << 35, (1 << 63) - 1, -1, None]
+    got = [r.e for r in spark.createDataFrame([(i, n) for i, n in enumerate(ns)], "i int, n long").select("i", X.varint("n").alias("e")).orderBy("i").collect()]
+    assert [None if e is None else bytes(e) for e in got] == [None if n is None else X.varint_bytes(n % (1 << 64)) for n in ns]
+    rows = spark.range(-3, 400, 7).select(X.fnv64("id").alias("a"), X.fnv64_of(F.col("id")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+
+
 def test_filters():
     assert K.probes(10) == 6
     assert [K.may_match(k, b"") for k in (b"x",)] == [False]
