@@ -87,6 +87,29 @@ def split_by_size(rows: DataFrame, key: str, order: str, size: str, most: int, o
     return rows.groupBy(key).applyInPandas(fold, f"{shape}, output long")
 
 
+def grandparent_bytes(rows: DataFrame, grandparents: DataFrame, key: str, order: str) -> DataFrame:
+    """rows with `overlap`: the bytes of the grandparents (key, largest_key, file_size) that lie wholly before the row's key
+    and not before the previous row's, which is what a compaction's walk adds at this row, the first row adding none. Both
+    sides are put in one order by key, so that no row meets all files; split_by_size() cuts by the column."""
+    ends = grandparents.select(key, F.col("largest_key").alias(order), F.col("file_size").alias("_bytes"), F.lit(0).alias("_side"))
+    own = rows.withColumn("_bytes", F.lit(None).cast("long")).withColumn("_side", F.lit(1)).withColumn("_order", F.col(order))
+    both = own.unionByName(ends.withColumn("_order", F.col(order)), allowMissingColumns=True)
+    # a file ends before a row whose key is greater, not equal: rows come first at equal keys
+    w = W.partitionBy(key).orderBy(F.col("_order"), F.desc("_side"))
+    passed = both.withColumn("_passed", F.coalesce(F.sum("_bytes").over(w), F.lit(0))).where("_side = 1")
+    before = F.lag("_passed").over(W.partitionBy(key).orderBy("_order"))
+    return passed.withColumn("overlap", F.coalesce(F.col("_passed") - before, F.lit(0))).drop("_bytes", "_side", "_order", "_passed")
+
+
+def promotion_due(buffers: DataFrame, most_keys: float, thresholds: tuple[int, ...] = (0, 0, 0, 0, 0, 1, 1)) -> DataFrame:
+    """buffers (level, file_no, file_size, buffered, hotness) with `promote`: whether a file's hot keys are to be merged upward,
+    because its buffer holds more than most_keys for each KB of the file, or it is hotter than its level's threshold."""
+    limits = F.array(*[F.lit(t) for t in thresholds])
+    hot = F.col("hotness") > F.get(limits, F.col("level").cast("int"))
+    full = F.col("buffered") > most_keys * F.col("file_size") / 1024
+    return buffers.withColumn("promote", full | F.coalesce(hot, F.lit(False)))
+
+
 def hot_keys(reads: DataFrame, threshold: int = 1) -> DataFrame:
     """(user_key, reads): keys read more than threshold times."""
     return reads.groupBy("user_key").agg(F.count(F.lit(1)).alias("reads")).where(F.col("reads") > threshold)

@@ -84,6 +84,29 @@ def scrambled(u: Column, n: int) -> Column:
     return F.transform(F.array(rank), lambda r: F.pmod(unsigned(fnv64_of(r)), F.lit(n).cast("decimal(20,0)")))[0]
 
 
+def uniform(u: Column, low: int, high: int) -> Column:
+    """An integer in [low, high] that u in [0, 1) gives."""
+    return (F.lit(low) + F.floor(u * (high - low + 1))).cast("long")
+
+
+def counter(at: Column, start: int = 0) -> Column:
+    """Consecutive numbers from start, at being a row's place from 0."""
+    return (F.lit(start) + at).cast("long")
+
+
+def random_bytes(ident: Column, size: int, seed: int = 0) -> Column:
+    """`size` printable characters that follow from an id: digests of it and of a block number, end to end."""
+    blocks = [F.sha2(F.concat_ws(":", ident.cast("string"), F.lit(f"{seed}:{i}")), 256) for i in range(-(-size // 64))]
+    return F.substring(F.concat(*blocks), 1, size) if blocks else F.lit("")
+
+
+def resampled(draws: DataFrame, last_ack: DataFrame) -> DataFrame:
+    """(op_id, key): the first of an operation's draws (op_id, draw_no, key) whose key has been inserted, that is at or below
+    the last acknowledged one (last_ack, one row); null if none of them is."""
+    seen = draws.join(F.broadcast(last_ack)).withColumn("_ok", F.when(F.col("key") <= F.col("last_ack"), F.col("draw_no")))
+    return seen.groupBy("op_id").agg(F.min_by("key", "_ok").alias("key"))
+
+
 def skewed_latest(u: Column, last: int) -> Column:
     return F.lit(last) - zipf_rank(u, last + 1)
 

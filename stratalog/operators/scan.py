@@ -12,6 +12,16 @@ def forward(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     return live(log, snapshot).orderBy("user_key")
 
 
+def by_comparator(log: DataFrame, sort_key, snapshot: int | None = None) -> DataFrame:
+    """Live state in a caller's order: sort_key, a function of the key column, gives what is compared; keys that compare
+    equal are one key, whose newest version counts, as a comparator that calls them equal would have it."""
+    from .resolve import visible
+
+    rest = [c for c in log.columns]
+    newest = visible(log, snapshot).groupBy(sort_key(F.col("user_key")).alias("_by")).agg(F.max_by(F.struct(*rest), F.struct("seq", "vtype")).alias("_v"))
+    return newest.where("_v.vtype = 1").orderBy("_by").select("_v.*")
+
+
 def reverse(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     return live(log, snapshot).orderBy(F.desc("user_key"))
 

@@ -57,6 +57,15 @@ def latency(ops: DataFrame) -> DataFrame:
     return ops.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("min_us"), F.max(us).alias("max_us"), F.avg(us).alias("avg_us"))
 
 
+def report(ops: DataFrame) -> DataFrame:
+    """(op, n, micros_per_op, mb_per_s) over operations (op, thread, start_us, finish_us, bytes) of any number of threads: time
+    per operation by the threads' own seconds, throughput by the time from the first start to the last finish."""
+    spent = F.sum(F.col("finish_us") - F.col("start_us"))
+    wall = (F.max("finish_us") - F.min("start_us")) / 1e6
+    rate = F.when(wall > 0, F.sum("bytes") / 1048576.0 / wall)
+    return ops.groupBy("op").agg(F.count(F.lit(1)).alias("n"), (spent / F.count(F.lit(1))).alias("micros_per_op"), rate.alias("mb_per_s"))
+
+
 def entry_bytes(rows: DataFrame) -> DataFrame:
     """(bytes) that the entries of rows (user_key, value) take in a memory table: the key with its eight-byte tag and the
     value, each after its length as a variable-length integer. A deletion marker has an empty value."""

@@ -19,6 +19,23 @@ def batch_problems(batches: DataFrame) -> DataFrame:
     return batches.withColumn("problem", bad).where("problem is not null")
 
 
+def append_batches(target: DataFrame, source: DataFrame, key: str = "batch_id") -> DataFrame:
+    """target and source (batch_id, op_idx, vtype, user_key, value) as one batch for each id: the source's operations come
+    after the target's, their op_idx moved on by as many as the target has, so that they win where both write a key. A batch
+    that only one side has stays as it is. Clearing a batch is taking an empty one as target."""
+    n = target.groupBy(key).agg((F.max("op_idx") + 1).alias("_n"))
+    moved = source.join(n, key, "left").withColumn("op_idx", (F.col("op_idx") + F.coalesce("_n", F.lit(0))).cast(dict(source.dtypes)["op_idx"]))
+    return target.unionByName(moved.drop("_n").select(*target.columns))
+
+
+def approximate_batch_size(ops: DataFrame, key: str = "batch_id") -> DataFrame:
+    """(batch_id, bytes) of each batch as it is written: a header of 12 bytes, and for each operation its kind, its key and,
+    unless it deletes, its value, each after its length as a variable-length integer."""
+    part = lambda c: F.when(F.octet_length(c) < 128, 1).when(F.octet_length(c) < 1 << 14, 2).when(F.octet_length(c) < 1 << 21, 3).otherwise(4) + F.octet_length(c)
+    size = 1 + part("user_key") + F.when(F.col("vtype") == 1, part("value")).otherwise(0)
+    return ops.groupBy(key).agg((F.sum(size) + 12).cast("long").alias("bytes"))
+
+
 def append(log: DataFrame, rows: DataFrame) -> DataFrame:
     return log.unionByName(rows)
 

@@ -251,6 +251,26 @@ def composite_keys(spark, d):
     return _usertable(spark, d).select(c.alias("composite")).select("composite", left.alias("left_part"), right.alias("right_part"))
 
 
+@query("SELECT o_orderkey // 8 AS batch_id, count(*) * 2 AS ops, arg_max(o_totalprice, o_orderkey) AS last_value FROM orders GROUP BY 1")
+def batch_append(spark, d):
+    o = L.table(spark, d, "orders")
+    at = F.row_number().over(W.partitionBy("batch_id").orderBy("o_orderkey")) - 1
+    ops = o.withColumn("batch_id", F.floor(F.col("o_orderkey") / 8)).select("batch_id", at.alias("op_idx"), F.lit(1).alias("vtype"), F.col("o_custkey").alias("user_key"), F.col("o_totalprice").alias("value"))
+    both = WR.append_batches(ops.withColumn("value", F.lit(0.0)), ops)
+    return both.groupBy("batch_id").agg(F.count(F.lit(1)).alias("ops"), F.max_by("value", "op_idx").alias("last_value"))
+
+
+@query("SELECT o_orderkey // 8 AS batch_id, (12 + sum(CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 3 + length(o_orderkey::VARCHAR) END + length(o_custkey::VARCHAR)))::BIGINT AS bytes FROM orders GROUP BY 1")
+def batch_sizes(spark, d):
+    o = L.table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 8).alias("batch_id"), F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("vtype"), F.col("o_custkey").cast("string").alias("user_key"), F.col("o_orderkey").cast("string").alias("value"))
+    return WR.approximate_batch_size(o)
+
+
+@query(f"WITH {_EV} SELECT user_key, seq, value FROM (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY user_key // 10 ORDER BY seq DESC) = 1) WHERE vtype = 1")
+def comparator_scan(spark, d):
+    return S.by_comparator(L.event_log(spark, d), lambda k: F.floor(k / 10)).select(*_STATE)
+
+
 # ---- file metadata
 
 
@@ -444,6 +464,24 @@ def reclaim_nodes(spark, d):
     return C.reclaimable(nodes, L.table(spark, d, "orders").select((F.col("o_custkey") + 300).alias("t"))).select("node", "dead")
 
 
+_WALK = """rows AS (SELECT l_suppkey % 4 AS c, l_orderkey * 10 + l_linenumber AS k FROM lineitem), gp AS (SELECT p_partkey % 4 AS c, p_partkey * 37 AS hi, p_size * 10 AS size FROM part),
+  passed AS (SELECT c, k, coalesce((SELECT sum(size) FROM gp WHERE gp.c = rows.c AND gp.hi < rows.k), 0) AS p FROM rows)"""
+
+
+@query(f"WITH {_WALK} SELECT c, k, coalesce(p - lag(p) OVER (PARTITION BY c ORDER BY k), 0)::BIGINT AS overlap FROM passed")
+def grandparent_walk(spark, d):
+    rows = L.table(spark, d, "lineitem").select((F.col("l_suppkey") % 4).alias("c"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
+    gp = L.table(spark, d, "part").select((F.col("p_partkey") % 4).alias("c"), (F.col("p_partkey") * 37).alias("largest_key"), (F.col("p_size") * 10).alias("file_size"))
+    return C.grandparent_bytes(rows, gp, "c", "k").select("c", "k", F.col("overlap").cast("long").alias("overlap"))
+
+
+@query(f"WITH {_FILES} SELECT level, file_no, buffered > 0.5 * file_size / 1024 OR buffered > [0, 0, 0, 0, 0, 1, 1][level + 1] + 55 AS promote FROM (SELECT level, f.file_no, file_size, count(*) AS buffered FROM files f JOIN (SELECT event_id // 100 AS file_no FROM events WHERE value > 50) e ON e.file_no = f.file_no GROUP BY ALL)")
+def promotion_trigger(spark, d):
+    hot = L.table(spark, d, "events").where("value > 50").groupBy(F.floor(F.col("event_id") / 100).alias("file_no")).agg(F.count(F.lit(1)).alias("buffered"))
+    buffers = _files(spark, d).join(hot, "file_no").withColumn("hotness", F.col("buffered") - 55)
+    return C.promotion_due(buffers, 0.5).select("level", "file_no", "promote")
+
+
 # ---- statistics
 
 
@@ -504,9 +542,29 @@ def memory_usage(spark, d):
     return A.entry_bytes(L.event_log(spark, d).select(F.col("user_key").cast("string").alias("user_key"), value.alias("value")))
 
 
+@query(f"WITH {_OPS} SELECT op, count(*) AS n, round(avg(latency_ns // 1000), 6) AS micros_per_op, round(sum(key) / 1048576.0 / ((max(op_id * 10 + latency_ns // 1000) - min(op_id * 10)) / 1e6), 6) AS mb_per_s FROM ops GROUP BY op")
+def bench_report(spark, d):
+    start, spent = F.col("op_id") * 10, F.floor(F.col("latency_ns") / 1000)
+    ops = _ops(spark, d).select("op", (F.col("op_id") % 4).alias("thread"), start.alias("start_us"), (start + spent).alias("finish_us"), F.col("key").alias("bytes"))
+    return A.report(ops).select("op", "n", F.round("micros_per_op", 6).alias("micros_per_op"), F.round("mb_per_s", 6).alias("mb_per_s"))
+
+
 # ---- workloads
 
 
+@query(f"SELECT event_id, (10 + floor({_U_SQL} * 91))::BIGINT AS drawn, 1000 + event_id AS counted, substr(sha256(event_id || ':7:0') || sha256(event_id || ':7:1'), 1, 100) AS text FROM events")
+def generators(spark, d):
+    i = F.col("event_id")
+    return L.table(spark, d, "events").select("event_id", R.uniform(_U(), 10, 100).alias("drawn"), R.counter(i, 1000).alias("counted"), R.random_bytes(i, 100, 7).alias("text"))
+
+
+@query("WITH a AS (SELECT max(o_custkey) // 2 AS last_ack FROM orders), t AS (SELECT event_id AS op_id, n AS draw_no, (event_id * 7919 + n * 104729) % 1500 AS key FROM events, range(3) r(n)) SELECT op_id, arg_min(key, draw_no) FILTER (key <= last_ack) AS key FROM t, a GROUP BY op_id")
+def resampled_keys(spark, d):
+    draw = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("draw_no")
+    draws = L.table(spark, d, "events").select(F.col("event_id").alias("op_id"), draw).withColumn("key", (F.col("op_id") * 7919 + F.col("draw_no") * 104729) % 1500)
+    return R.resampled(draws, L.table(spark, d, "orders").agg(F.floor(F.max("o_custkey") / 2).alias("last_ack")))
+
+
 @query(f"SELECT op, count(*) AS n FROM (SELECT CASE WHEN {_U_SQL} < 0.95 THEN 'read' ELSE 'update' END AS op FROM events) GROUP BY op")
 def op_mix(spark, d):
     return L.table(spark, d, "events").select(R.choose(_U(), R.MIXES["b"]).alias("op")).groupBy("op").agg(F.count(F.lit(1)).alias("n"))

@@ -186,3 +186,26 @@ def test_late_rows_do_not_overwrite(spark, tmp_path):
     changelog.to_memory(changelog.current_state(stream), "current_state", str(tmp_path / "ck")).awaitTermination(120)
     got = {bytes(r.user_key): (r.seq, r.vtype) for r in spark.table("current_state").collect()}
     assert got == {b"a": (5, 1), b"b": (6, 0)}
+
+
+def test_levels_are_pruned(spark, tmp_path):
+    from stratalog.sources import levels
+
+    log = spark.range(1000).select(F.col("id").alias("user_key"), F.col("id").alias("seq"), F.lit(1).alias("vtype"), F.lit(1.0).alias("value"), (F.col("id") % 6).cast("int").alias("level"), F.lit(1).alias("file_no"))
+    where = str(tmp_path / "levels")
+    levels.write_levels(log, where)
+    got = levels.read_level(spark, where, level=5, start=100, limit=200)
+    assert got.count() == log.where("level = 5 and user_key >= 100 and user_key < 200").count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(level" in plan and "PushedFilters: [IsNotNull(user_key), GreaterThanOrEqual(user_key,100), LessThan(user_key,200)]" in plan
+    assert levels.read_level(spark, where, tier="SSD").select("level").distinct().count() == 2
+
+
+def test_appended_batches(spark):
+    shape = "batch_id long, op_idx int, vtype int, user_key binary, value binary"
+    a = spark.createDataFrame([(1, 0, 1, b"a", b"va"), (1, 1, 1, b"b", b"vb")], shape)
+    b = spark.createDataFrame([(1, 0, 0, b"a", None), (2, 0, 1, b"c", b"vc")], shape)
+    got = [(r.batch_id, r.op_idx, r.vtype, bytes(r.user_key)) for r in WR.append_batches(a, b).orderBy("batch_id", "op_idx").collect()]
+    assert got == [(1, 0, 1, b"a"), (1, 1, 1, b"b"), (1, 2, 0, b"a"), (2, 0, 1, b"c")]
+    assert WR.append_batches(a.limit(0), b).count() == 2
+    assert {r.batch_id: r.bytes for r in WR.approximate_batch_size(a).collect()} == {1: 12 + 2 * (1 + 2 + 3)}
