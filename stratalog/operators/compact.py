@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .files import overlap_bytes
+from .ordered import sweep
+
 # Triggers and sizes of levels.
 L0_TRIGGER, L0_SLOWDOWN, L0_STOP = 8, 16, 30
 BASE_BYTES, MULTIPLE = 5 * 1024 * 1024, 4
@@ -29,11 +32,13 @@ def drop_shadowed(log: DataFrame, oldest: int) -> DataFrame:
 
 def drop_markers(log: DataFrame, oldest: int, deeper: DataFrame) -> DataFrame:
     """Deletion markers go too if they are at or below the oldest snapshot and no deeper file (smallest_key, largest_key)
-    covers their key."""
+    covers their key: in the order of keys, whether any file that began before or at the marker's key ends at or after it."""
     gone = (F.col("vtype") == 0) & (F.col("seq") <= oldest)
     markers, rest = log.where(gone), log.where(~gone)
-    needed = markers.join(deeper.select("smallest_key", "largest_key"), F.col("user_key").between(F.col("smallest_key"), F.col("largest_key")), "left_semi")
-    return rest.unionByName(needed)
+    begun = deeper.select(F.col("smallest_key").alias("user_key"), F.col("largest_key").alias("_end"), F.lit(0).alias("_tie"))
+    both = markers.withColumn("_end", F.lit(None).cast(begun.schema["_end"].dataType)).withColumn("_tie", F.lit(1)).unionByName(begun, allowMissingColumns=True)
+    kept = sweep(both, ["user_key", "_tie", "seq"], {"_reach": ("max", F.col("_end"))}, "markers").where("_tie = 1 and _reach >= user_key")
+    return rest.unionByName(kept.select(*log.columns))
 
 
 def max_bytes(level):
@@ -54,12 +59,8 @@ def back_pressure(files: DataFrame) -> DataFrame:
 
 def trivial_moves(files: DataFrame, most_grandparents: int) -> DataFrame:
     """Files that may move down unchanged: nothing overlaps one level down, and not too many bytes two levels down."""
-    def below(d: int) -> DataFrame:
-        o = files.select((F.col("level") - d).alias("level"), F.col("smallest_key").alias("_lo"), F.col("largest_key").alias("_hi"), F.col("file_size").alias("_size"))
-        return files.join(o, ["level"]).where((F.col("_lo") <= F.col("largest_key")) & (F.col("_hi") >= F.col("smallest_key"))).groupBy("level", "file_no").agg(F.sum("_size").alias("_bytes"))
-
-    alone = files.where("level >= 1").join(below(1), ["level", "file_no"], "left_anti")
-    return alone.join(below(2), ["level", "file_no"], "left").where(F.coalesce("_bytes", F.lit(0)) <= most_grandparents).select("level", "file_no")
+    alone = files.where("level >= 1").join(overlap_bytes(files, 1), ["level", "file_no"], "left_anti")
+    return alone.join(overlap_bytes(files, 2), ["level", "file_no"], "left").where(F.coalesce("bytes", F.lit(0)) <= most_grandparents).select("level", "file_no")
 
 
 def seek_candidates(files: DataFrame, misses: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import at_or_after, overlap_pairs
+
 
 def overlaps(low, high, start, limit):
     """Whether [low, high] meets [start, limit], null bounds being open."""
@@ -13,14 +15,16 @@ def overlaps(low, high, start, limit):
 
 def overlapping(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """(range_id, level, file_no) of the files that meet each range (range_id, start, limit)."""
-    r = ranges.select("range_id", "start", "limit")
-    return files.join(r, overlaps(F.col("smallest_key"), F.col("largest_key"), F.col("start"), F.col("limit"))).select("range_id", "level", "file_no")
+    met = overlap_pairs(files.select("level", "file_no", "smallest_key", "largest_key"), ranges.select("range_id", "start", "limit"))
+    return met.select("r.range_id", "f.level", "f.file_no")
 
 
 def find_file(files: DataFrame, keys: DataFrame) -> DataFrame:
-    """(user_key, file_no): of sorted, disjoint files the first whose largest key is at or after the key; null past the end."""
-    hit = keys.join(files.select("largest_key", "file_no"), F.col("largest_key") >= F.col("user_key"), "left")
-    return hit.groupBy("user_key").agg(F.min_by("file_no", F.struct("largest_key", "file_no")).alias("file_no"))
+    """(user_key, file_no): of sorted, disjoint files the first whose largest key is at or after the key; null past the end.
+    Files and keys are put in one order, so that no key meets all files."""
+    marks = files.select(F.col("largest_key").alias("at"), F.struct("largest_key", "file_no").alias("row"))
+    hit = at_or_after(keys.select(F.col("user_key").alias("at")).distinct(), marks, "find-file")
+    return hit.select(F.col("at").alias("user_key"), "hit.file_no")
 
 
 def expand_overlapping(files: DataFrame, start, limit, level: int = 0) -> DataFrame:
@@ -48,12 +52,14 @@ def boundary_inputs(files: DataFrame, chosen: list[int], level: int = 1) -> list
 
 
 def approximate_sizes(files: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(range_id, bytes) within [start, limit): whole files count in full, files cut by a bound by the share of their key span."""
-    span = F.greatest(F.col("largest_key") - F.col("smallest_key") + 1, F.lit(1))
-    part = F.least("limit", F.col("largest_key") + 1) - F.greatest("start", "smallest_key")
-    size = F.floor(F.col("file_size") * F.greatest(part, F.lit(0)) / span)
-    met = ranges.join(files, (F.col("largest_key") >= F.col("start")) & (F.col("smallest_key") < F.col("limit")), "left")
-    return met.groupBy("range_id").agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
+    """(range_id, bytes) within [start, limit): whole files count in full, files cut by a bound by the share of their key span.
+    A range without a bound has no bytes."""
+    low, high, start, limit = F.col("f.smallest_key"), F.col("f.largest_key"), F.col("r.start"), F.col("r.limit")
+    part = F.least(limit, high + 1) - F.greatest(start, low)
+    size = F.floor(F.col("f.file_size") * F.greatest(part, F.lit(0)) / F.greatest(high - low + 1, F.lit(1)))
+    bounded = ranges.select("range_id", "start", "limit").where("start is not null and limit is not null")
+    met = overlap_pairs(files.select("file_size", "smallest_key", "largest_key"), bounded).groupBy("r.range_id").agg(F.sum(size).alias("bytes"))
+    return ranges.select("range_id").distinct().join(met, "range_id", "left").select("range_id", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
 
 
 def level_stats(files: DataFrame) -> DataFrame:
@@ -73,11 +79,17 @@ def listing(files: DataFrame) -> DataFrame:
     return rows.select("level", F.array_join(F.transform("rows", lambda r: r["entry"]), " ").alias("files"))
 
 
+def overlap_bytes(files: DataFrame, depth: int) -> DataFrame:
+    """(level, file_no, bytes, met) of the files that meet some file `depth` levels down: these files' bytes and number."""
+    own = files.select("level", "file_no", F.col("smallest_key").alias("start"), F.col("largest_key").alias("limit"))
+    below = files.select((F.col("level") - depth).alias("level"), "smallest_key", "largest_key", "file_size")
+    return overlap_pairs(below, own, "level").groupBy("r.level", "r.file_no").agg(F.sum("f.file_size").alias("bytes"), F.count(F.lit(1)).alias("met"))
+
+
 def next_level_overlap(files: DataFrame) -> DataFrame:
-    """For each file at level 1 or deeper, the bytes of the files one level down that its range meets."""
-    below = files.select((F.col("level") - 1).alias("level"), F.col("smallest_key").alias("_lo"), F.col("largest_key").alias("_hi"), F.col("file_size").alias("_size"))
-    met = files.where("level >= 1").join(below, ["level"], "left").where(F.col("_lo").isNull() | ((F.col("_lo") <= F.col("largest_key")) & (F.col("_hi") >= F.col("smallest_key"))))
-    return met.groupBy("level", "file_no").agg(F.coalesce(F.sum("_size"), F.lit(0)).cast("long").alias("overlap_bytes"))
+    """For each file at level 1 or deeper, the bytes of the files one level down that its range meets; 0 if there are none."""
+    met = overlap_bytes(files.where("level >= 1"), 1)
+    return files.where("level >= 1").select("level", "file_no").join(met, ["level", "file_no"], "left").select("level", "file_no", F.coalesce("bytes", F.lit(0)).cast("long").alias("overlap_bytes"))
 
 
 def fold_edits(edits: DataFrame) -> DataFrame:

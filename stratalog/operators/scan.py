@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import at_or_after
 from .resolve import live
 
 
@@ -51,11 +52,10 @@ def seek_many(probes: DataFrame, log: DataFrame, width: int) -> DataFrame:
     """
     keys = live(log).select("user_key", F.floor(F.col("user_key") / width).alias("cell"))
     cells = keys.groupBy("cell").agg(F.min("user_key").alias("low"))
-    from pyspark.sql import Window as W
-
-    # one row a cell; the first key after a cell is the next cell's smallest
-    every = cells.select("cell", "low").unionByName(probes.select(F.floor(F.col("target") / width).alias("cell"), F.lit(None).cast("long").alias("low")).distinct().join(cells.select("cell"), "cell", "left_anti"))
-    after = every.withColumn("next", F.min("low").over(W.orderBy("cell").rowsBetween(1, W.unboundedFollowing))).select("cell", "next")
+    # the first key after a cell is the smallest of the next cell that has one
+    wanted = probes.select(F.floor(F.col("target") / width).alias("at")).distinct()
+    after = at_or_after(wanted, cells.select(F.col("cell").alias("at"), F.struct("cell", "low").alias("row")), "seek", strict=True)
+    after = after.select(F.col("at").alias("cell"), F.col("hit.low").alias("next"))
     p = probes.withColumn("cell", F.floor(F.col("target") / width))
     own = p.join(keys, "cell").where("user_key >= target").groupBy("probe_id").agg(F.min("user_key").alias("own"))
     return p.join(own, "probe_id", "left").join(after, "cell", "left").select("probe_id", "target", F.coalesce("own", "next").alias("found"))
