@@ -115,15 +115,20 @@ def range_half_open(spark, d):
     return S.half_open(L.event_log(spark, d), 3, 40).select("user_key", "value")
 
 
-@query(f"WITH {_EV} SELECT user_key, seq, value FROM (SELECT * FROM ev WHERE seq <= 500 QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) = 1) WHERE vtype = 1")
+def _seq_at(spark, d, share: int, of: int) -> int:
+    """The sequence number at a share of the log's last, one number on the driver, so that snapshots grow with the log."""
+    return (L.event_log(spark, d).agg(F.max("seq")).first()[0] or 0) * share // of
+
+
+@query(f"WITH {_EV} SELECT user_key, seq, value FROM (SELECT * FROM ev WHERE seq <= (SELECT max(seq) FROM ev) * 5 // 10 QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) = 1) WHERE vtype = 1")
 def snapshot_read(spark, d):
-    return M.live(L.event_log(spark, d), 500).select(*_STATE)
+    return M.live(L.event_log(spark, d), _seq_at(spark, d, 5, 10)).select(*_STATE)
 
 
-@query(f"""WITH {_EV}, snaps AS (SELECT s AS snap_id, s * 200 + 50 AS seq FROM range(5) t(s)) SELECT snap_id, user_key, value FROM
+@query(f"""WITH {_EV}, snaps AS (SELECT s AS snap_id, (SELECT max(seq) FROM ev) * (4 * s + 1) // 20 AS seq FROM range(5) t(s)) SELECT snap_id, user_key, value FROM
   (SELECT snap_id, user_key, vtype, value FROM snaps JOIN ev ON ev.seq <= snaps.seq QUALIFY row_number() OVER (PARTITION BY snap_id, user_key ORDER BY ev.seq DESC) = 1) WHERE vtype = 1""")
 def multi_snapshot_asof(spark, d):
-    snaps = spark.range(5).select(F.col("id").alias("snap_id"), (F.col("id") * 200 + 50).alias("seq"))
+    snaps = spark.createDataFrame([(s, _seq_at(spark, d, 4 * s + 1, 20)) for s in range(5)], "snap_id long, seq long")
     return M.at_snapshots(L.event_log(spark, d), snaps)
 
 
@@ -386,19 +391,19 @@ def repair_metadata(spark, d):
 # ---- compaction
 
 
-_KEEP = f"{_LOG}, kept AS (SELECT * FROM (SELECT *, lag(seq) OVER (PARTITION BY user_key ORDER BY seq DESC) AS newer FROM log) WHERE newer IS NULL OR newer > 600)"
+_KEEP = f"{_LOG}, kept AS (SELECT * FROM (SELECT *, lag(seq) OVER (PARTITION BY user_key ORDER BY seq DESC) AS newer FROM log) WHERE newer IS NULL OR newer > (SELECT max(seq) FROM log) * 9 // 10)"
 
 
 @query(f"WITH {_KEEP} SELECT user_key, seq, vtype, value, level, file_no FROM kept")
 def compaction_keep(spark, d):
-    return C.drop_shadowed(_log(spark, d), 600)
+    return C.drop_shadowed(_log(spark, d), _seq_at(spark, d, 9, 10))
 
 
-@query(f"WITH {_KEEP}, deep AS (SELECT file_no, min(user_key) AS lo, max(user_key) AS hi FROM log WHERE level = 2 GROUP BY file_no) SELECT user_key, seq, vtype FROM kept WHERE NOT (vtype = 0 AND seq <= 600 AND NOT EXISTS (SELECT 1 FROM deep WHERE user_key BETWEEN lo AND hi))")
+@query(f"WITH {_KEEP}, deep AS (SELECT file_no, min(user_key) AS lo, max(user_key) AS hi FROM log WHERE level = 2 GROUP BY file_no) SELECT user_key, seq, vtype FROM kept WHERE NOT (vtype = 0 AND seq <= (SELECT max(seq) FROM log) * 9 // 10 AND NOT EXISTS (SELECT 1 FROM deep WHERE user_key BETWEEN lo AND hi))")
 def compaction_tombstone_elision(spark, d):
-    log = _log(spark, d)
+    log, oldest = _log(spark, d), _seq_at(spark, d, 9, 10)
     deeper = L.file_metadata(log.where("level = 2"))
-    return C.drop_markers(C.drop_shadowed(log, 600), 600, deeper).select("user_key", "seq", "vtype")
+    return C.drop_markers(C.drop_shadowed(log, oldest), oldest, deeper).select("user_key", "seq", "vtype")
 
 
 @query(f"WITH {_FILES} SELECT level, CASE WHEN level = 0 THEN count(*) / 8.0 ELSE sum(file_size) / (50000.0 * pow(4, greatest(level - 1, 0))) END AS score FROM files GROUP BY level")
@@ -421,9 +426,11 @@ def trivial_move_candidates(spark, d):
     return C.trivial_moves(p, 3000)
 
 
-@query(f"WITH {_FILES}, m AS (SELECT (event_id % 10) AS file_no, count(*) AS misses FROM events GROUP BY 1) SELECT level, files.file_no, misses FROM files JOIN m ON m.file_no = files.file_no WHERE misses >= allowed_seeks")
+@query(f"WITH {_FILES}, c AS (SELECT max(seq) // 100 + 1 AS n FROM log), m AS (SELECT ((event_id % n) * (event_id % n)) % n AS file_no, count(*) AS misses FROM events, c GROUP BY 1) SELECT level, files.file_no, misses FROM files JOIN m ON m.file_no = files.file_no WHERE misses >= allowed_seeks")
 def seek_compaction_candidates(spark, d):
-    return C.seek_candidates(_files(spark, d), L.table(spark, d, "events").select((F.col("event_id") % 10).alias("file_no")))
+    n = _seq_at(spark, d, 1, 1) // 100 + 1
+    at = F.col("event_id") % n
+    return C.seek_candidates(_files(spark, d), L.table(spark, d, "events").select((at * at % n).alias("file_no")))
 
 
 @query(f"WITH {_FILES} SELECT level, file_no, installed_at FROM files WHERE tier = 'NVM' ORDER BY installed_at, file_no LIMIT 5")
