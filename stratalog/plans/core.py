@@ -128,7 +128,8 @@ def snapshot_read(spark, d):
 @query(f"""WITH {_EV}, snaps AS (SELECT s AS snap_id, (SELECT max(seq) FROM ev) * (4 * s + 1) // 20 AS seq FROM range(5) t(s)) SELECT snap_id, user_key, value FROM
   (SELECT snap_id, user_key, vtype, value FROM snaps JOIN ev ON ev.seq <= snaps.seq QUALIFY row_number() OVER (PARTITION BY snap_id, user_key ORDER BY ev.seq DESC) = 1) WHERE vtype = 1""")
 def multi_snapshot_asof(spark, d):
-    snaps = spark.createDataFrame([(s, _seq_at(spark, d, 4 * s + 1, 20)) for s in range(5)], "snap_id long, seq long")
+    last = _seq_at(spark, d, 1, 1)
+    snaps = spark.createDataFrame([(s, last * (4 * s + 1) // 20) for s in range(5)], "snap_id long, seq long")
     return M.at_snapshots(L.event_log(spark, d), snaps)
 
 
