@@ -155,11 +155,21 @@ def pairs_within(key):
         yield i, i + d
 
 
-def block_pairs(df: DataFrame, key: list[str], row_id: str, limit: int, tag: str) -> DataFrame:
+def block_pairs(df: DataFrame, key: list[str], row_id: str, limit: int, tag: str, main: Column | None = None) -> DataFrame:
     """Adds `pair`, a hash of the key and of two blocks of it, so that all rows of a key meet pair by pair in groups of about
     twice `limit` rows at most: a key with m rows has ceil(m / limit) blocks and each row goes to every pair that has its block.
-    Also adds `block` and the pair's `bi` <= `bj`."""
-    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > limit)
-    out = df.join(sizes, key, "left").withColumn("_nb", F.coalesce(F.ceil(F.col("_m") / limit), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64(row_id), F.col("_nb")).cast("int"))
-    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    return out.withColumn("bi", F.least("block", "_other")).withColumn("bj", F.greatest("block", "_other")).withColumn("pair", F.xxhash64(*key, "bi", "bj")).drop("_m", "_nb", "_other")
+    Also adds `block` and the pair's `bi` <= `bj`.
+
+    With `main`, rows of a key of more than `limit` rows for which it is true need not meet each other, as they are known to
+    belong together: they have blocks of their own, below zero, which only the other rows' blocks meet. If all rows of such a
+    key are main rows, none is left."""
+    main = F.lit(False) if main is None else F.coalesce(main, F.lit(False))
+    df = df.withColumn("_main", main)
+    parts = lambda here: F.ceil(F.sum(here.cast("long")) / limit).cast("int")
+    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"), parts(F.col("_main")).alias("_ml"), parts(~F.col("_main")).alias("_nb")).where(F.col("_m") > limit)
+    out = df.join(sizes.drop("_m"), key, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1))).withColumn("_main", F.col("_main") & F.col("_ml").isNotNull()).withColumn("_ml", F.coalesce("_ml", F.lit(0)))
+    at = lambda n: F.pmod(F.xxhash64(row_id), F.greatest(n, F.lit(1))).cast("int")
+    out = out.withColumn("block", F.when(F.col("_main"), -1 - at(F.col("_ml"))).otherwise(at(F.col("_nb"))))
+    first = F.when(F.col("_main"), F.lit(0)).otherwise(-F.col("_ml"))
+    out = out.where("_nb > 0").withColumn("_other", F.explode(F.sequence(first, F.col("_nb") - 1)))
+    return out.withColumn("bi", F.least("block", "_other")).withColumn("bj", F.greatest("block", "_other")).withColumn("pair", F.xxhash64(*key, "bi", "bj")).drop("_nb", "_ml", "_main", "_other")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, connected_components, materialize, pairs_within, release, whole_groups
+from .common import block_pairs, connected_components, join_classes, materialize, pairs_within, release, whole_groups
 from .textops import SPACE, doc_of, mix, slices, small_batches, word_bounds, word_hashes
 from .vectors import _span
 
@@ -152,13 +152,78 @@ def _confirm(percent: int):
     return run
 
 
+def _near_pivot(agree: int):
+    def run(batches):
+        """Whether each row's signature agrees with its bucket's pivot in `agree` places at least."""
+        for pdf in batches:
+            view = lambda c: np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), -1)
+            if len(pdf):
+                yield pdf[["bucket", "id", "sig", "pid"]].assign(near=(view("sig") == view("psig")).sum(1) >= agree)
+
+    return run
+
+
+def _confirm_edges(percent: int):
+    def run(batches):
+        """The edges whose two full sets reach the similarity."""
+        for pdf in batches:
+            keep = []
+            for x, y in zip(pdf["shingles"], pdf["_up"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+
+    return run
+
+
+def _bucket_pairs(entries: DataFrame, agree: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of entries dealt to pairs of blocks of their bucket, and, where there are buckets of more than BLOCK rows, edges
+    that hold these buckets' near rows together: all rows that agree with the smallest one are linked to it and need not
+    meet each other, so that a group of near copies costs its rows, not their square."""
+    counts = materialize(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "dup-buckets")
+    # a bucket of one class alone pairs nothing
+    met = entries.join(counts, "bucket")
+    if counts.where(F.col("c") > BLOCK).isEmpty():
+        return block_pairs(met, ["bucket"], "id", BLOCK, "dup"), None
+    large = met.where(F.col("c") > BLOCK)
+    pivots = large.groupBy("bucket").agg(F.first("c").alias("size"), F.min_by(F.struct("id", "sig"), "id").alias("p")).select("bucket", "size", F.col("p.id").alias("pid"), F.col("p.sig").alias("psig"))
+    told = join_classes(large.select("bucket", "id", "sig"), pivots, ["bucket"], F.col("size"), counts.agg(F.sum("c")).first()[0], ["pid", "psig"])
+    told = materialize(told.mapInPandas(_near_pivot(agree), "bucket long, id long, sig binary, pid long, near boolean"), "dup-pivots")
+    edges = told.where("near and id <> pid").select(F.col("id").alias("a"), F.col("pid").alias("b")).distinct()
+    cols = ["pair", "bi", "bj", "block", "id", "sig"]
+    few = block_pairs(met.where(F.col("c") <= BLOCK), ["bucket"], "id", BLOCK, "dup").select(*cols)
+    return few.unionByName(block_pairs(told, ["bucket"], "id", BLOCK, "dup", F.col("near")).select(*cols)), edges
+
+
+def _hold_together(members: DataFrame, forest: DataFrame, percent: int, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """members with `main`, and confirmed links among them: in candidate components of more than `limit` members, each member
+    but the smallest is held against one smaller member, in a tree that spans the component. `main` marks the largest part
+    that confirmed links of the tree hold together; its members need not meet each other any more."""
+    sizes = materialize(members.groupBy("component").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > limit), "dup-large")
+    if sizes.isEmpty():
+        return members.withColumn("main", F.lit(False)), None
+    sized = join_classes(members.select("id", "component"), sizes, ["component"], F.col("_m"), members.count(), ["_m"]).where("_m is not null").drop("_m")
+    lower = forest.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("low")).groupBy("id").agg(F.min("low").alias("low"))
+    tree = sized.join(lower, "id", "left").select("id", F.coalesce("low", "component").alias("up")).where("up <> id")
+    sets = members.select("id", "shingles")
+    edges = tree.join(sets, "id").select(F.col("id").alias("a"), F.col("up").alias("b"), "shingles").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("_up")), "b")
+    links = materialize(edges.mapInPandas(_confirm_edges(percent), "a long, b long"), "dup-tree")
+    held = connected_components(links, "dup-held")
+    part = materialize(sized.join(held.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id")), "dup-parts")
+    most = part.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("part", F.struct("n", "part")).alias("part"))
+    main = part.join(most, ["component", "part"], "left_semi").select("id", F.lit(True).alias("main"))
+    return members.join(main, "id", "left"), links
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, tx (a hash of the text), n_shingles, component_id, kept for every row of docs.
 
     Texts with equal shingle sets form a class and are compared once. Two classes are candidates if they share a half key in
     each of the two collections; half keys that one class alone has are dropped before pairs are formed, which loses nothing.
     Signatures thin the candidates, their spanning forests give components, and inside these all full sets are compared, in
-    blocks, without emitting pairs. A null, empty or white text has no shingles, no links and is its own component; a null
+    blocks, without emitting pairs. In large buckets and components, rows that links to single members already hold together
+    meet only the rest, which loses no component: a large group of near copies costs its size, not its square. A null, empty or white text has no shingles, no links and is its own component; a null
     doc_id takes no part, has a null component and is kept; an empty table gives an empty result; rows that repeat a doc_id
     are one document and get equal answers for equal texts; other columns are ignored.
     """
@@ -175,10 +240,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     kept = halves.join(common, ["pos", "key"]).groupBy("id").agg(F.collect_list(F.when(F.col("pos") < HALVES, F.struct("pos", "key"))).alias("left"), F.collect_list(F.when(F.col("pos") >= HALVES, F.struct("pos", "key"))).alias("right"))
     crossed = kept.where((F.size("left") > 0) & (F.size("right") > 0)).join(classes.select("id", "sig"), "id").withColumn("l", F.explode("left")).withColumn("r", F.explode("right"))
     entries = materialize(crossed.select("id", "sig", F.xxhash64("l.pos", "r.pos", "l.key", "r.key").alias("bucket")), "dup-entries")
-    # a bucket of one class alone pairs nothing
-    met = entries.join(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket"), "bucket")
-    paired = block_pairs(met, ["bucket"], "id", BLOCK, "dup").select("pair", "bi", "bj", "block", "id", "sig")
-    forest = paired.repartition("pair").sortWithinPartitions("pair").mapInPandas(_candidates(agree), "a long, b long")
+    paired, near = _bucket_pairs(entries, agree)
+    forest = paired.select("pair", "bi", "bj", "block", "id", "sig").repartition("pair").sortWithinPartitions("pair").mapInPandas(_candidates(agree), "a long, b long")
+    forest = materialize(forest if near is None else forest.unionByName(near), "dup-forest")
     groups = connected_components(forest, "dup-candidates")
     wanted = groups.select(F.col("node").alias("id"), "component").join(classes.select("id", "h1", "h2"), "id")
     # the class's text is that of its first document; a doc_id with several texts is told by the set's hashes
@@ -186,8 +250,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     mine = docs.select(F.col("doc_id").alias("_d"), "text").where("doc_id is not null").join(owner, (F.col("_d") == F.col("id")) & (F.xxhash64("text") == F.col("_tx"))).dropDuplicates(["id", "_tx"]).select("id", "component", "text")
     members = materialize(mine.mapInArrow(_sets, "id long, component long, shingles binary"), "dup-sets")
     release(entries)
-    exact = block_pairs(members, ["component"], "id", BLOCK // 8, "dup").select("pair", "bi", "bj", "block", "id", "shingles")
+    # the tree moves sets about as often as eight copies of a component do, which is what BLOCK members would have
+    told, held = _hold_together(members, forest, percent, BLOCK)
+    exact = block_pairs(told, ["component"], "id", BLOCK // 8, "dup", F.col("main")).select("pair", "bi", "bj", "block", "id", "shingles")
     links = exact.repartition("pair").sortWithinPartitions("pair").mapInPandas(_confirm(percent), "a long, b long")
+    links = links if held is None else links.unionByName(held)
     parts = connected_components(links, "dup-components")
     release(members)
     named = classes.select("h1", "h2", "n", "id").join(parts, classes.id == parts.node, "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("_c"))

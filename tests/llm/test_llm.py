@@ -550,6 +550,39 @@ def test_near_duplicates(spark, documents):
         assert got == groups_by_force(rows, percent)
 
 
+def test_near_duplicates_in_large_groups(spark, monkeypatch):
+    """Chains, near copies and half-like texts in components and buckets beyond every block: the same as all pairs."""
+    r = np.random.default_rng(6)
+    words = np.array([f"w{i}" for i in range(3000)])
+    texts = []
+    for g, edits in enumerate([1, 4, 3, 6]):
+        base = list(r.choice(words, 400))
+        now = base[:]
+        for i in range(45):
+            t = (base if g < 2 else now)[:]
+            for _ in range(edits):
+                t[int(r.integers(len(t)))] = f"x{g}-{i}"
+            if g == 3 and i % 3 == 0:
+                t = t[: 400 - 2 * i]
+            now = t
+            texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    low = list(range(len(texts)))
+    find = lambda i: i if low[i] == i else find(low[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                low[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in range(len(texts))}
+    assert 4 < len(set(want.values())) < len(texts) - 50
+    for block in (neardup.BLOCK, 80, 16):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        assert {x.doc_id: x.component_id for x in neardup.near_duplicates(df, 85).collect()} == want
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
