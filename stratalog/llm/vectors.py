@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import block_pairs, connected_components, global_rank, materialize, pairs_within, whole_groups
+from .common import block_pairs, connected_components, global_rank, join_classes, materialize, pairs_within, whole_groups
 
 #: Tables at one or two rotations a bucket; each rotation more doubles them, so that recall does not fall as tables grow.
 TABLES = 16
@@ -19,6 +19,8 @@ SPREAD = 128
 #: Sign bits of a sketch. Vectors at cosine 0.9 differ in 73.5 of them on average, with deviation 7.9.
 SKETCH_BITS, SKETCH_CUT = 512, 113
 BLOCK = 2048
+#: Members of a large component around which its cores are sought.
+SEEDS = 4
 
 
 def _valid(col: str = "embedding"):
@@ -31,6 +33,10 @@ def _stack(vs: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in vs])
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+
+
 def _hadamard(x: np.ndarray) -> np.ndarray:
     n, h = x.shape[1], 1
     while h < n:
@@ -141,6 +147,85 @@ def _links(threshold: float):
     return run
 
 
+def _near_pivot(batches):
+    """Whether each entry's sketch is near its bucket's pivot's."""
+    for pdf in batches:
+        bits = lambda c: np.frombuffer(b"".join(pdf[c]), np.uint64).reshape(len(pdf), -1)
+        if len(pdf):
+            near = np.bitwise_count(bits("sketch") ^ bits("_psk")).sum(1, dtype=np.int32) <= SKETCH_CUT
+            yield pdf.drop(columns="_psk").assign(near=near)
+
+
+def _bucket_pairs(entries: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Entries dealt to pairs of blocks of their bucket, and, where there are buckets of more than BLOCK entries, edges from all
+    entries near such a bucket's smallest one, no probe, to it. These need not meet each other: their component is told, so a
+    group of near copies costs its entries, not their square. A bucket of probes alone pairs nothing."""
+    key, cols = ["dim", "table", "bucket"], ["pair", "bi", "bj", "block", "id", "sketch", "main"]
+    first = F.min_by(F.struct("id", "sketch"), F.when(F.col("main"), F.col("id"))).alias("p")
+    large = entries.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"), first).where(F.col("_m") > BLOCK)
+    large = materialize(large.select(*key, "_m", F.col("p.id").alias("_pid"), F.col("p.sketch").alias("_psk")), "vec-large")
+    if large.isEmpty():
+        return block_pairs(entries, key, "id", BLOCK, "vec").select(*cols), None
+    met = join_classes(entries, large, key, F.col("_m"), entries.count(), ["_m", "_pid", "_psk"])
+    few = block_pairs(met.where("_m is null").select(*entries.columns), key, "id", BLOCK, "vec").select(*cols)
+    many = met.where("_pid is not null").select("id", *key, "sketch", "main", "_pid", "_psk")
+    told = materialize(many.mapInPandas(_near_pivot, "id long, dim int, table int, bucket long, sketch binary, main boolean, _pid long, near boolean"), "vec-pivots")
+    edges = told.where("near and id <> _pid").select(F.greatest("id", "_pid").alias("a"), F.least("id", "_pid").alias("b")).distinct()
+    return few.unionByName(block_pairs(told, key, "id", BLOCK, "vec", F.col("near")).select(*cols)), edges
+
+
+def _seed_sums(threshold: float):
+    def run(batches):
+        """Sums of the unit vectors that each seed of their component links."""
+        for pdf in batches:
+            for (component, dim), part in pdf.groupby(["component", "dim"]):
+                x, seeds = _unit(_stack(part["embedding"])), _unit(_stack(part["_seeds"].iloc[0]))
+                sums = (x @ seeds.T >= threshold).T.astype(np.float64) @ x
+                yield pd.DataFrame({"component": component, "dim": dim, "which": np.arange(len(sums)), "total": list(sums)})
+
+    return run
+
+
+def _inside(limit: float):
+    def run(batches):
+        """A bit for each mean of their component to which vectors have cosine `limit` or more."""
+        for pdf in batches:
+            for _, part in pdf.groupby(["component", "dim"]):
+                means = _unit(_stack(part["_means"].iloc[0]))
+                bits = ((_unit(_stack(part["embedding"])) @ means.T >= limit) << np.arange(len(means))).sum(1)
+                yield part[["id", "component", "dim", "n"]].assign(bits=bits.astype(np.int64))
+
+    return run
+
+
+def _cores(members: DataFrame, threshold: float, limit: int) -> DataFrame | None:
+    """(id, n, low, total) of the core of each candidate component of more than `limit` members: vectors within half the
+    threshold's angle of one direction, so that any two of them are linked and none needs to meet another. Directions are
+    the means of what SEEDS members link; the one with the largest core is taken. low is the core's smallest id, total the
+    sum of its n."""
+    key = ["component", "dim"]
+    seeds = F.array(*[F.min_by("embedding", F.xxhash64("id", F.lit(i))) for i in range(SEEDS)])
+    large = members.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"), seeds.alias("_seeds")).where(F.col("_m") > limit)
+    large = materialize(large, "vec-seeds")
+    if large.isEmpty():
+        return None
+    rows, total = members.select("id", "component", "dim", "n", "embedding"), members.count()
+    seeded = join_classes(rows, large, key, F.col("_m"), total, ["_seeds"]).where("_seeds is not null").select("component", "dim", "embedding", "_seeds")
+    sums = seeded.mapInPandas(_seed_sums(threshold), "component long, dim int, which int, total array<double>")
+    mean = sums.select(*key, "which", F.posexplode("total").alias("pos", "x")).groupBy(*key, "which", "pos").agg(F.sum("x").alias("x"))
+    mean = mean.groupBy(*key, "which").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
+    mean = mean.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("which", "mean"))), lambda s: s["mean"]).alias("_means"))
+    means = materialize(mean.join(large.select(*key, "_m"), key), "vec-means")
+    held = join_classes(rows, means, key, F.col("_m"), total, ["_means"]).where("_means is not null").select("id", "component", "dim", "n", "embedding", "_means")
+    # the margin is far above what rounding may move a cosine
+    half = math.sqrt((1 + threshold) / 2) + 1e-9
+    inside = materialize(held.mapInPandas(_inside(half), "id long, component long, dim int, n long, bits long"), "vec-inside")
+    count = lambda i: F.struct(F.sum(F.col("n") * F.shiftright("bits", i).bitwiseAND(F.lit(1))).alias("total"), F.min(F.when(F.shiftright("bits", i).bitwiseAND(F.lit(1)) == 1, F.col("id"))).alias("low"), F.lit(i).alias("which"))
+    best = inside.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"), F.greatest(*[count(i) for i in range(SEEDS)]).alias("_best"))
+    core = join_classes(inside, best, key, F.col("_m"), total, ["_best"]).where(F.expr("shiftright(bits, _best.which) & 1") == 1)
+    return materialize(core.select("id", "n", F.col("_best.low").alias("low"), F.col("_best.total").alias("total")), "vec-core")
+
+
 def table_shape(classes: int) -> tuple[int, int]:
     """Rotations in a bucket and tables for so many distinct vectors."""
     k = max(1, round(math.log(max(classes, 2)) / math.log(SPREAD)))
@@ -152,40 +237,50 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFr
 
     Equal vectors form a class and are compared once. Cross-polytope buckets with probes propose pairs, sign sketches thin
     them, and their spanning forests give candidate components, inside which all cosines are computed exactly in double
-    precision, in blocks, so that no pair is emitted. Vectors that are null, zero, empty or hold null or non-finite
-    components have no links and are their own component; vectors of different length are never linked; repeated rows are
-    each other's links; a repeated vec_id counts each of its rows. An empty table gives an empty result.
+    precision, in blocks, so that no pair is emitted. Vectors of a large component that lie within half the threshold's angle
+    of one direction are all linked to each other; they are counted, and meet only the rest. Vectors that are null, zero,
+    empty or hold null or non-finite components have no links and are their own component; vectors of different length are
+    never linked; repeated rows are each other's links; rows that repeat a vec_id with other vectors are counted each by its
+    own vector. An empty table gives an empty result.
     """
     rows = vectors.select("vec_id", "embedding")
     ok = _valid() & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull()
-    classes = rows.where(ok).groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(classes.withColumn("dim", F.size("embedding")), "vec-classes")
+    classes = rows.where(ok).groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(classes.select("*", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("id")), "vec-classes")
     k, tables = table_shape(classes.count())
 
     def hashed(batches):
         for pdf in batches:
             for _, part in pdf.groupby(pdf["dim"].to_numpy()):
-                x = _stack(part["embedding"])
-                x /= np.linalg.norm(x, axis=1)[:, None]
+                x = _unit(_stack(part["embedding"]))
                 main, probes = cross_polytope(x, tables, k)
                 s = sketch(x)
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "dim": part["dim"].to_numpy(), "sketch": [x.tobytes() for x in s], "main": list(main), "probes": list(probes)})
 
-    marks = classes.mapInPandas(hashed, "id long, dim int, sketch binary, main array<long>, probes array<long>")
+    marks = classes.select("id", "dim", "embedding").mapInPandas(hashed, "id long, dim int, sketch binary, main array<long>, probes array<long>")
     entry = lambda c, every, flag: F.transform(F.col(c), lambda x, i: F.struct(F.floor(i / every).cast("int").alias("table"), x.alias("bucket"), F.lit(flag).alias("main")))
     entries = marks.select("id", "dim", "sketch", F.explode(F.concat(entry("main", 1, True), entry("probes", k, False))).alias("e")).select("id", "dim", "sketch", "e.*")
     entries = materialize(entries, "vec-entries")
-    paired = block_pairs(entries, ["dim", "table", "bucket"], "id", BLOCK, "vec")
-    cols = ["pair", "bi", "bj", "block", "id", "sketch", "main"]
-    forest = paired.select(*cols).repartition("pair").sortWithinPartitions("pair").mapInPandas(candidate_edges, "a long, b long")
-    groups = connected_components(forest, "vec-candidates")
+    paired, near = _bucket_pairs(entries)
+    forest = paired.repartition("pair").sortWithinPartitions("pair").mapInPandas(candidate_edges, "a long, b long")
+    groups = connected_components(forest if near is None else forest.unionByName(near), "vec-candidates")
     members = materialize(classes.join(groups, classes.id == groups.node).select("id", "n", "embedding", "component", "dim"), "vec-members")
-    exact = block_pairs(members, ["component", "dim"], "id", BLOCK // 4, "vec-exact").select("pair", "bi", "bj", "block", "id", "n", "embedding")
-    links = materialize(exact.repartition("pair").sortWithinPartitions("pair").mapInPandas(_links(threshold), "id long, links long, to long, edge boolean"), "vec-links")
-    degree = links.where("not edge").groupBy("id").agg(F.sum("links").alias("links"))
-    parts = connected_components(links.where("edge").select(F.col("id").alias("a"), F.col("to").alias("b")), "vec-components")
-    told = classes.join(degree, "id", "left").join(parts, classes.id == parts.node, "left")
-    told = told.select(F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_l"), F.coalesce("component", "id").alias("_c"))
+    core = _cores(members, threshold, BLOCK // 4)
+    marked = members.withColumn("main", F.lit(False)) if core is None else members.join(core.select("id", F.lit(True).alias("main")), "id", "left")
+    exact = block_pairs(marked, ["component", "dim"], "id", BLOCK // 4, "vec-exact", F.col("main")).select("pair", "bi", "bj", "block", "id", "n", "embedding")
+    links = exact.repartition("pair").sortWithinPartitions("pair").mapInPandas(_links(threshold), "id long, links long, to long, edge boolean")
+    links = materialize(links, "vec-links")
+    edges = links.where("edge").select(F.col("id").alias("a"), F.col("to").alias("b"))
+    degrees = links.where("not edge").select("id", "links")
+    if core is not None:
+        edges = edges.unionByName(core.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
+        degrees = degrees.unionByName(core.select("id", (F.col("total") - F.col("n")).alias("links")))
+    degree = degrees.groupBy("id").agg(F.sum("links").alias("links"))
+    parts = connected_components(edges, "vec-components")
+    parted = classes.select("id", "first").join(parts, F.col("id") == parts.node).select("id", "first", "component")
+    named = parted.join(parted.groupBy("component").agg(F.min("first").alias("_c")), "component").select("id", "_c")
+    told = classes.join(degree, "id", "left").join(named, "id", "left")
+    told = told.select(F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_l"), F.coalesce("_c", "first").alias("_c"))
     keyed = rows.withColumn("_key", F.when(ok, F.col("embedding")))
     out = keyed.join(told, keyed["_key"] == told["_e"], "left")
     component = F.coalesce("_c", "vec_id")

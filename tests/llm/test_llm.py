@@ -243,7 +243,10 @@ def links_by_force(vs, t):
     return [(i, j) for i, j in itertools.combinations(range(len(vs)), 2) if ok[i] and ok[j] and len(vs[i]) == len(vs[j]) and unit[i] @ unit[j] >= t]
 
 
-def test_vector_links(spark):
+@pytest.mark.parametrize("block", [2048, 16])
+def test_vector_links(spark, monkeypatch, block):
+    """Also with so small blocks that buckets have pivots and components have cores."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(150, 16))
     near = base[:60] + 0.08 * rng.normal(size=(60, 16))
@@ -263,6 +266,27 @@ def test_vector_links(spark):
     assert vectors.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_that_repeat_an_id(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.001]), (3, [0.001, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicate_vectors(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_cores_are_linked_throughout(spark, monkeypatch):
+    """Cores hold most of a group of near vectors, whatever member comes first, and only vectors that are all linked."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=32)
+    vs = np.vstack([centre + 1.0 * rng.normal(size=(3, 32)), centre + 0.15 * rng.normal(size=(200, 32))])
+    rows = [(i, 1, [float(x) for x in v], 0, 32) for i, v in enumerate(vs)]
+    members = spark.createDataFrame(rows, "id long, n long, embedding array<double>, component long, dim int")
+    core = vectors._cores(members, 0.9, 50).collect()
+    ids = [r.id for r in core]
+    unit = vs / np.linalg.norm(vs, axis=1)[:, None]
+    assert len(ids) > 150 and (unit[ids] @ unit[ids].T >= 0.9).all()
+    assert {(r.low, r.total) for r in core} == {(min(ids), len(ids))}
+    assert vectors._cores(members, 0.9, 300) is None
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 12)) * rng.choice([0.1, 1, 5], (400, 1))
