@@ -161,14 +161,17 @@ def _bucket_pairs(entries: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     entries near such a bucket's smallest one, no probe, to it. These need not meet each other: their component is told, so a
     group of near copies costs its entries, not their square. A bucket of probes alone pairs nothing."""
     key, cols = ["dim", "table", "bucket"], ["pair", "bi", "bj", "block", "id", "sketch", "main"]
-    first = F.min_by(F.struct("id", "sketch"), F.when(F.col("main"), F.col("id"))).alias("p")
-    large = entries.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"), first).where(F.col("_m") > BLOCK)
-    large = materialize(large.select(*key, "_m", F.col("p.id").alias("_pid"), F.col("p.sketch").alias("_psk")), "vec-large")
+    large = materialize(entries.groupBy(*key).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > BLOCK), "vec-large")
     if large.isEmpty():
         return block_pairs(entries, key, "id", BLOCK, "vec").select(*cols), None
-    met = join_classes(entries, large, key, F.col("_m"), entries.count(), ["_m", "_pid", "_psk"])
+    total = entries.count()
+    met = join_classes(entries, large, key, F.col("_m"), total, ["_m"])
     few = block_pairs(met.where("_m is null").select(*entries.columns), key, "id", BLOCK, "vec").select(*cols)
-    many = met.where("_pid is not null").select("id", *key, "sketch", "main", "_pid", "_psk")
+    many = met.where("_m is not null")
+    pivots = many.where("main").groupBy(*key).agg(F.first("_m").alias("size"), F.min_by(F.struct("id", "sketch"), "id").alias("p"))
+    pivots = materialize(pivots.select(*key, "size", F.col("p.id").alias("_pid"), F.col("p.sketch").alias("_psk")), "vec-heads")
+    many = join_classes(many.drop("_m"), pivots, key, F.col("size"), total, ["_pid", "_psk"]).where("_pid is not null")
+    many = many.select("id", *key, "sketch", "main", "_pid", "_psk")
     told = materialize(many.mapInPandas(_near_pivot, "id long, dim int, table int, bucket long, sketch binary, main boolean, _pid long, near boolean"), "vec-pivots")
     edges = told.where("near and id <> _pid").select(F.greatest("id", "_pid").alias("a"), F.least("id", "_pid").alias("b")).distinct()
     return few.unionByName(block_pairs(told, key, "id", BLOCK, "vec", F.col("near")).select(*cols)), edges
@@ -247,7 +250,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFr
     ok = _valid() & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull()
     classes = rows.where(ok).groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes.select("*", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("id")), "vec-classes")
-    k, tables = table_shape(classes.count())
+    total = classes.count()
+    k, tables = table_shape(total)
 
     def hashed(batches):
         for pdf in batches:
@@ -278,7 +282,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFr
     degree = degrees.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(edges, "vec-components")
     parted = classes.select("id", "first").join(parts, F.col("id") == parts.node).select("id", "first", "component")
-    named = parted.join(parted.groupBy("component").agg(F.min("first").alias("_c")), "component").select("id", "_c")
+    lowest = parted.groupBy("component").agg(F.count(F.lit(1)).alias("_m"), F.min("first").alias("_c"))
+    named = join_classes(parted, lowest, ["component"], F.col("_m"), total, ["_c"]).select("id", "_c")
     told = classes.join(degree, "id", "left").join(named, "id", "left")
     told = told.select(F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_l"), F.coalesce("_c", "first").alias("_c"))
     keyed = rows.withColumn("_key", F.when(ok, F.col("embedding")))
