@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -242,13 +243,20 @@ def lehmer(seed: int, n: int) -> list[int]:
     return out
 
 
-def _by_length(values: list) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, bytes as a matrix) of the values of each length; nulls are left out."""
+def _by_length(values: list | pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, bytes as a matrix) of the values of each length; nulls are left out. Arrow's binaries are read in place."""
+    if isinstance(values, pa.Array) and len(values):
+        values = values.cast(pa.binary())
+        _, offsets, data = values.buffers()
+        start = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+        data = np.frombuffer(data or b"", np.uint8)
+        n = np.where(values.is_null().to_numpy(zero_copy_only=False), -1, np.diff(start))
+        return [(at := np.flatnonzero(n == k), data[start[at][:, None] + np.arange(k)]) for k in np.unique(n[n >= 0])]
     n = np.array([-1 if v is None else len(v) for v in values], np.int64)
     return [(at := np.flatnonzero(n == k), np.frombuffer(b"".join(bytes(values[i]) for i in at), np.uint8).reshape(len(at), int(k))) for k in np.unique(n[n >= 0])]
 
 
-def hash32_many(values: list, seed) -> np.ndarray:
+def hash32_many(values: list | pa.Array, seed) -> np.ndarray:
     """hash32_bytes() of each value (-1 for null), all values of a length at once. seed: one, or one a value."""
     out, seeds = np.full(len(values), -1, np.int64), np.broadcast_to(np.asarray(seed, np.int64), (len(values),))
     for at, data in _by_length(values):

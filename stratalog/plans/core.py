@@ -704,7 +704,8 @@ def bloom_false_positive_rate(spark, d):
     keys = L.table(spark, d, "orders").select((F.col("o_custkey") % 16).alias("part"), F.encode(F.col("o_orderkey").cast("string"), "UTF-8").alias("user_key"))
     probes = keys.withColumn("user_key", F.concat(F.lit(b"x"), "user_key"))
     asked = keys.withColumn("there", F.lit(True)).union(probes.withColumn("there", F.lit(False)))
-    return asked.join(K.build_filters(keys, "part"), "part").groupBy("there").agg(F.avg(K.matches("user_key", "filter").cast("int")).alias("match_rate"), F.count(F.lit(1)).alias("n"))
+    found = F.coalesce("match", F.lit(False)).cast("int")
+    return K.probed(asked, K.build_filters(keys, "part", few_groups=True), "part", few_groups=True).groupBy("there").agg(F.avg(found).alias("match_rate"), F.count(F.lit(1)).alias("n"))
 
 
 _CMS = f"""WITH u AS (SELECT user_id, count(*) AS exact, any_value((SELECT {_FNV_SQL.replace('id >>', 'user_id >>')})) AS h FROM events GROUP BY user_id),

@@ -49,6 +49,39 @@ def test_bloom_rates(spark):
     assert rates[False] <= 0.02
 
 
+def _orders(spark, path, rows):
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{path}/orders.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view orders as select * from '{path}/orders.parquet/*.parquet'")
+    want = c.sql(core.oracle_sql()["bloom_false_positive_rate"]).select("there", "match_rate", "n").fetchall()
+    return core.queries()["bloom_false_positive_rate"](spark, path), sorted(want)
+
+
+def test_bloom_of_null_and_repeated_keys(spark, tmp_path):
+    """A null key sets no bit and matches nothing, also where a part has no other; a row without a customer is in no part."""
+    rows = [(i if i % 3 else None, i) for i in range(4000) if i % 16 < 6] + [(None, 7), (8, 8), (8, 8), (9, None), (-5, -3)]
+    got, want = _orders(spark, str(tmp_path), rows)
+    assert sorted((r.there, r.match_rate, r.n) for r in got.collect()) == want
+
+
+def _sent(plan) -> int:
+    """Bytes that the operators of a run plan sent to Python."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _sent(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _sent(plan.plan())
+    below, sent = plan.children(), plan.metrics().get("pythonDataSent")
+    return (sent.get().value() if sent.isDefined() else 0) + sum(_sent(below.apply(i)) for i in range(below.size()))
+
+
+def test_bloom_filters_do_not_travel_with_each_key(spark, tmp_path):
+    """20,000 orders in one part have a filter of 25 KB; by each of 40,000 asked rows that would be 1 GB."""
+    got, want = _orders(spark, str(tmp_path), [(i, 16 * (i % 5)) for i in range(20_000)])
+    assert sorted((r.there, r.match_rate, r.n) for r in got.collect()) == want
+    assert 0 < _sent(got._jdf.queryExecution().executedPlan()) < 10_000_000
+
+
 def test_sketch_is_never_too_low(spark):
     assert core.cms_estimate(spark, DATA).where("estimate < exact").count() == 0
 

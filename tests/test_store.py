@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from stratalog.functions import scalar as X
 from stratalog.operators import compact as C
 from stratalog.operators import files as FS
 from stratalog.operators import records as R
@@ -135,6 +140,27 @@ def test_filter_blocks_and_decay(spark):
     assert K.decayed(adds, 10).count() == 5
 
 
+@pytest.mark.parametrize("few", [False, True])
+def test_filters_of_many_segments_and_cells(spark, monkeypatch, few):
+    """Filters are those of bits set one by one; rows meet them in several cells, also rows whose group has none."""
+    monkeypatch.setattr(K, "CELL", 500)
+    keys = [("big", f"k{i}".encode()) for i in range(15_000)] + [("small", b"a"), ("small", None), ("null", None)]
+    filters = K.build_filters(spark.createDataFrame(keys, "g string, user_key binary"), "g", few_groups=few).cache()
+    n = Counter(g for g, _ in keys)
+    want = {g: np.zeros(-(-max(64, 10 * n[g]) // 8) * 8, np.uint8) for g in n}
+    for g, k in keys:
+        for j in range(6 if k else 0):
+            h = X.hash32_bytes(k, X.BLOOM_SEED)
+            want[g][(h + ((h >> 17 | h << 15) & 0xFFFFFFFF) * j) % (1 << 32) % len(want[g])] = 1
+    got = {r.g: (r.n, bytes(r.filter)) for r in filters.collect()}
+    assert got == {g: (n[g], np.packbits(bits, bitorder="little").tobytes() + b"\x06") for g, bits in want.items()}
+    asked = [(i, g, k) for i, (g, k) in enumerate([*keys, *(("big", f"x{i}".encode()) for i in range(3000)), ("small", b"zz"), ("none", b"a"), (None, b"a")])]
+    rows = K.probed(spark.createDataFrame(asked, "i long, g string, user_key binary"), filters, "g", few_groups=few).collect()
+    assert sorted((r.i, r.match) for r in rows) == [(i, None if k is None or g == "none" else K.may_match(k, got[g][1])) for i, g, k in asked if g]
+    joined = spark.createDataFrame(asked, "i long, g string, user_key binary").join(filters, "g", "left").select("i", K.matches("user_key", "filter").alias("match"))
+    assert {r.i: r.match for r in joined.where("g is not null").collect()} == {r.i: r.match for r in rows}
+
+
 def test_fills(spark):
     assert R.fill(spark, 10, "fillseq").where("batch_id <> id").count() == 0
     assert R.fill(spark, 2000, "fillbatch", 1000).select("batch_id").distinct().count() == 2
